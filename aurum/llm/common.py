@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever the driver imported it from."""
+    if (app := spark.sparkContext.applicationId) not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        file = Path(tempfile.mkdtemp(prefix="aurum-")) / "aurum.zip"
+        with zipfile.ZipFile(file, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(file))
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)

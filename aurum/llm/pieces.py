@@ -21,7 +21,7 @@ import zlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import table
+from .common import ship, table
 
 BLANK = "▁"
 
@@ -136,6 +136,7 @@ def pieces(model: bytes) -> Pieces:
 
 def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, one row for each row; a null text is an empty one."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op6_decontaminate
 from .pieces import op5_pieces
+from .quality import op1_quality
+from .reshard import op2_reshard
 from .token_pack import op9_token_pack
 
-QUERIES = {"op5_pieces": op5_pieces, "op9_token_pack": op9_token_pack}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_reshard, op5_pieces, op6_decontaminate, op9_token_pack)}
 ORACLES: dict[str, str] = {}

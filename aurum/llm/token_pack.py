@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import new_path, stored, table
+from .common import new_path, ship, stored, table
 
 MAGIC, VERSION, BLOCK = b"AUTK", 1, 1 << 15
 HEAD, TAIL = struct.Struct("<4sHHI"), struct.Struct("<QQQ4s")
@@ -189,6 +189,7 @@ def write_tokens(docs: DataFrame, model: str, end_id: int, path: str, vocabulary
     that is run again writes another file, and only the attempt that Spark commits enters the manifest.
     """
     spark, bits = docs.sparkSession, width(vocabulary)
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def write(batches):
