@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
+from .line_dedup import op3_line_dedup
 from .pieces import op5_pieces
 from .prefix_join import op10_prefix_join
 from .quality import op1_quality
 from .reshard import op2_reshard
 from .token_pack import op9_token_pack
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_reshard, op5_pieces, op6_decontaminate, op9_token_pack, op10_prefix_join)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_reshard, op3_line_dedup, op5_pieces, op6_decontaminate, op9_token_pack, op10_prefix_join)}
 ORACLES: dict[str, str] = {}
