@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op6_decontaminate
 from .line_dedup import op3_line_dedup
+from .personal import op7_personal
 from .pieces import op5_pieces
 from .prefix_join import op10_prefix_join
 from .quality import op1_quality
@@ -12,5 +13,5 @@ from .token_pack import op9_token_pack
 from .vector_join import op8_vector_join
 from .warc import op4_warc
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_reshard, op3_line_dedup, op4_warc, op5_pieces, op6_decontaminate, op8_vector_join, op9_token_pack, op10_prefix_join)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_reshard, op3_line_dedup, op4_warc, op5_pieces, op6_decontaminate, op7_personal, op8_vector_join, op9_token_pack, op10_prefix_join)}
 ORACLES: dict[str, str] = {}
