@@ -152,12 +152,13 @@ def merge_batch(requests: DataFrame, stored: DataFrame, rules: list[dict], now:
         events = [r | {"Data": json.loads(r["Data"])} for r in left.to_dict("records")]
         doc = json.loads(right["doc"].iloc[0]) if len(right) else None
         if not events:
-            return pd.DataFrame({"EntityId": [], "kind": [], "payload": []})
+            return pd.DataFrame({"EntityId": [], "kind": [], "payload": []}, dtype=str)
         entity, log, results = fold_entity(doc, events, rules, now, tracked)
         rows = [("entity", entity)] if entity is not None and entity != doc else []
         rows += [("log", x) for x in log] + [("result", x) for x in results]
         return pd.DataFrame([{"EntityId": key[0], "kind": k, "payload": D.canonical(p)} for k, p in rows])
 
+    stored = stored.join(requests.select("EntityId").distinct(), "EntityId", "left_semi").select("EntityId", "doc")
     return requests.groupBy("EntityId").cogroup(stored.groupBy("EntityId")).applyInPandas(fold, "EntityId string, kind string, payload string")
 
 
