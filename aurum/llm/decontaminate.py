@@ -1,10 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index, with DataFrame operations only.
 
-The index is a stored table of postings (term, doc_key, text_hash, pos), pos counting the words of a document from 0.
-Phrase matching takes each phrase's rarest term by the corpus counts of the postings, turns that term's postings into
-candidate starts (position less the term's offset in the phrase), and intersects the candidates with the offset-adjusted
-postings of the next rarest term and then of all the others. Proximity matching joins the postings of the
-rarest term with those of the other terms in buckets of the distance asked for.
+The index is a stored table of postings (term, next, doc_key, text_hash, pos): term and next are the 64-bit hashes of a word
+and of the word after it (null at the end, and for words that the index leaves out), pos counts the words of a document
+from 0. Phrase matching takes, by the corpus counts of the postings, each phrase's rarest pair of neighbouring terms, turns
+the postings of that pair into candidate starts (position less the pair's offset in the phrase), and intersects them with
+the offset-adjusted postings of the phrase's other terms. Proximity matching joins the postings of the rarest
+term with those of the other terms in buckets of the distance asked for.
 
 Words: A-Z lower-cased, then runs of digits, a-z and characters beyond ASCII.
 
@@ -41,49 +42,52 @@ def row_key() -> list[Column]:
 
 
 def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """The postings of docs (doc_id, text), stored; of the given terms (column term) only, if there are any given."""
-    rows = docs.select(*row_key(), words(F.col("text")).alias("words")).select(*KEY, F.posexplode("words").alias("pos", "term"))
-    return stored(rows if terms is None else rows.join(small(terms), "term", "left_semi"), "postings")
+    """The postings of docs (doc_id, text), stored; of the given terms (column term: hashes of words) only, if there are any given."""
+    rows = docs.select(*row_key(), words(F.col("text")).alias("words")).select(*KEY, F.posexplode("words").alias("pos", "word"), "words")
+    rows = rows.select(*KEY, "pos", F.xxhash64("word").alias("term"), F.when(F.col("pos") < F.size("words") - 1, F.xxhash64(F.get("words", F.col("pos") + 1))).alias("next"))
+    if terms is not None:
+        known = small(terms)
+        rows = rows.join(known, "term", "left_semi").join(known.select(F.col("term").alias("after")), F.col("next") == F.col("after"), "left").select(*KEY, "pos", "term", F.col("after").alias("next"))
+    return stored(rows, "postings")
 
 
 def phrases(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """items (item_id, text) -> the distinct windows (phrase, terms) and (phrase, item_id), both stored.
+    """items (item_id, text) -> the distinct windows (phrase, terms: hashes of words) and (phrase, item_id), both stored.
 
     A window has `size` words; an item of fewer, but not none, is one window."""
     cut = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     cut = cut.withColumn("at", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))))
     cut = cut.select("item_id", F.slice("w", F.col("at"), F.lit(size)).alias("terms")).distinct()
-    named = stored(cut.withColumn("phrase", F.sha2(F.array_join("terms", " "), 256)), "phrases")
+    cut = cut.withColumn("phrase", F.sha2(F.array_join("terms", " "), 256)).withColumn("terms", F.transform("terms", lambda w: F.xxhash64(w)))
+    named = stored(cut, "phrases")
     return stored(named.select("phrase", "terms").distinct(), "windows"), named.select("phrase", "item_id")
 
 
 def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     """windows (phrase, terms) -> every occurrence: doc_key, text_hash, start, length, phrase."""
-    each = windows.select("phrase", F.size("terms").alias("length"), F.posexplode("terms").alias("offset", "term"))
-    counts = index.groupBy("term").count()
-    rank = F.row_number().over(W.partitionBy("phrase").orderBy("count", "term", "offset"))
-    # a phrase with a term that the corpus lacks can't occur
-    ranked = each.join(counts, "term").withColumn("rank", rank)
-    plan = ranked.groupBy("phrase", "length").agg(F.sort_array(F.collect_list(F.struct("rank", "offset", "term"))).alias("order")).where(F.size("order") == F.col("length"))
-    plan = stored(plan.select("phrase", "length", F.col("order")[0]["term"].alias("term"), F.col("order")[0]["offset"].alias("offset"), F.expr("slice(order, 2, 1)").alias("next"), F.expr("slice(order, 3, greatest(length - 2, 0))").alias("rest")), "plan")
-    found = index.join(small(plan), "term").select(*KEY, (F.col("pos") - F.col("offset")).alias("start"), "phrase", "length", "next", "rest").where("start >= 0")
-    # all lists of a document meet in one partition; whatever follows needs no further shuffle
-    postings, found = index.repartition(*KEY), found.repartition(*KEY)
-    for others in ("next", "rest"):
-        done = found.where(F.size(others) == 0)
-        open_ = found.where(F.size(others) > 0).withColumn("want", F.explode(others)).withColumn("pos", F.col("start") + F.col("want.offset")).withColumn("term", F.col("want.term"))
-        got = open_.join(postings, [*KEY, "pos", "term"], "left_semi")
-        kept = [*KEY, "start", "phrase", "length"]
-        if others == "next":
-            found = done.select(*kept, "rest").union(got.select(*kept, "rest"))
-        else:
-            whole = got.groupBy(*kept).agg(F.count_distinct("pos").alias("n")).where("n = length - 2")
-            found = done.select(*kept).union(whole.select(*kept))
-    return found
+    length = F.size("terms")
+    each = windows.where(length > 1).select("phrase", "terms", F.explode(F.sequence(F.lit(0), length - 2)).alias("offset"))
+    each = stored(each.select("phrase", "terms", "offset", F.get("terms", F.col("offset")).alias("term"), F.get("terms", F.col("offset") + 1).alias("next")), "pairs")
+    pair = ["term", "next"]
+    counts = index.join(small(each.select(*pair).distinct()), pair, "left_semi").groupBy(*pair).count()
+    # a phrase with a pair that the corpus lacks can't occur
+    rarest = each.join(counts, pair).groupBy("phrase", "terms").agg(F.min(F.struct("count", *pair, "offset")).alias("best"), F.count("*").alias("n")).where("n = size(terms) - 1")
+    rest = F.filter(F.transform("terms", lambda t, i: F.struct(i.alias("offset"), t.alias("term"))), lambda x: (x["offset"] != F.col("best.offset")) & (x["offset"] != F.col("best.offset") + 1))
+    plan = stored(rarest.select("phrase", length.alias("length"), "best.term", "best.next", "best.offset", rest.alias("rest")), "plan")
+    start = (F.col("pos") - F.col("offset")).alias("start")
+    found = index.join(small(plan), pair).select(*KEY, start, "phrase", "length", "rest").where("start >= 0")
+    found = stored(found, "candidates")
+    kept = [*KEY, "start", "phrase", "length"]
+    # all lists of a document meet in one partition
+    want = found.where("length > 2").repartition(*KEY).select(*kept, F.explode("rest").alias("want")).select(*kept, (F.col("start") + F.col("want.offset")).alias("pos"), "want.term")
+    got = want.join(index.select(*KEY, "pos", "term").repartition(*KEY), [*KEY, "pos", "term"], "left_semi")
+    whole = got.groupBy(*kept).agg(F.count_distinct("pos").alias("n")).where("n = length - 2").select(*kept)
+    single = small(stored(windows.where(length == 1).select("phrase", length.alias("length"), F.get("terms", F.lit(0)).alias("term")), "single"))
+    return whole.union(found.where("length = 2").select(*kept)).union(index.join(single, "term").select(*KEY, "pos", "phrase", "length"))
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
-    """queries (query, terms) -> doc_key, text_hash, query, pos: occurrences of the query's rarest term that have every
+    """queries (query, terms: hashes of words) -> doc_key, text_hash, query, pos: occurrences of the query's rarest term that have every
     other term of the query at most `within` words away."""
     each = queries.select("query", F.explode(F.array_distinct("terms")).alias("term"))
     rank = F.row_number().over(W.partitionBy("query").orderBy("count", "term"))
