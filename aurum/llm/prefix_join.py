@@ -12,7 +12,9 @@ What is asked for is components, so a pair that already hangs together needs no
 members of a group against its first member and the groups of a token against its first group; then, for tokens and groups
 whose members are still in several components, a second star around another member; last, every remaining pair between
 components. The last round makes the result exact, the stars before it keep it small. Before its sets are fetched a pair
-must pass an exact bound: two 1024-bit parity sketches differ in no more bits than the sets differ in elements.
+must pass an exact bound: two parity sketches, of about a bit for each element, differ in no more bits than the sets
+differ in elements. Tokens that only one class has are dropped from the prefixes, those that a Bloom filter of fixed size
+lets through by a join.
 
 Defined cases: a text without words has an empty set and links with nothing; a null text is an empty one; rows with one
 doc_id are told apart by their sets; a row with null doc_id links with nothing and has a null component; other columns are
@@ -30,7 +32,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import components, discard, ship, stored, table
 
-HOT_TOKENS, HOT_FROM, SKETCH, BLOOM = 1_000_000, 64, 1024, 1 << 24
+HOT_TOKENS, HOT_FROM, BLOOM = 1_000_000, 64, 1 << 24
+#: Bits of the least and of the largest parity sketch.
+LEAST_BITS, MOST_BITS = 64, 1 << 16
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -64,66 +68,112 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def sketches(docs: DataFrame, size: int, percent: int, hot: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n, f1, f2 (together the set's identity), bits (parity sketch), prefix."""
+def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
+
+
+def signed(digest: int) -> tuple[int, int]:
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
+def texts_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def prefix_tokens(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(token) of the prefixes by hash alone."""
+    ship(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingles(t.as_py(), size) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s[: prefix_length(len(s), percent)] for s in sets if len(s)] or [np.zeros(0, np.int64)]), pa.int64())], ["token"])
+
+    return texts_of(docs.where("doc_id is not null")).select("text").mapInArrow(run, "token long")
+
+
+def sketches(docs: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """doc_id, n, f1, f2 (together the set's identity), g1, g2 (of size and prefix), bits (parity sketch), prefix."""
     ship(docs.sparkSession)
-    shared = None if hot is None else docs.sparkSession.sparkContext.broadcast(hot)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches):
-        last = None if shared is None else shared.value
+        last = shared.value
         for batch in batches:
-            n, f1, f2, bits, prefix = [], [], [], [], []
+            numbers, bits, prefixes = [], [], []
             for text in batch.column(1):
                 s = shingles(text.as_py(), size)
-                f = xxhash.xxh3_128_intdigest(s.tobytes())
-                n.append(len(s))
-                f1.append((f >> 64) - (1 << 63))
-                f2.append((f & (1 << 64) - 1) - (1 << 63))
-                bits.append(np.packbits((np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).astype(np.uint8)).view("<i8"))
-                if len(s) and last is not None and len(last):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    common = last[at] == s
+                n = len(s)
+                identity = signed(xxhash.xxh3_128_intdigest(s.tobytes()))
+                m = min(MOST_BITS, max(LEAST_BITS, 1 << max(0, n - 1).bit_length()))
+                bits.append(np.packbits((np.bincount(s & (m - 1), minlength=m) & 1).astype(np.uint8), bitorder="little").view("<i8"))
+                if n and len(last):
+                    common = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
                     s = np.concatenate([s[~common], s[common]])
-                prefix.append(s[: prefix_length(len(s), percent)] if len(s) else s)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else [], pa.int64())) for x in (bits, prefix)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, f1, f2)), *lists], ["doc_id", "n", "f1", "f2", "bits", "prefix"])
+                prefixes.append(s[: prefix_length(n, percent)] if n else s)
+                numbers.append((n, *identity, *signed(xxhash.xxh3_128_intdigest(prefixes[-1].tobytes(), n))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in zip(*numbers, strict=True)), lists_of(bits, pa.int64()), lists_of(prefixes, pa.int64())], ["doc_id", "n", "f1", "f2", "g1", "g2", "bits", "prefix"]) if numbers else batch.slice(0, 0)
+
+    return texts_of(docs).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, g1 long, g2 long, bits array<long>, prefix array<long>")
+
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bits array<long>, prefix array<long>")
+def bloom_bits(column: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(column), F.lit(BLOOM)), F.pmod(F.xxhash64(column, F.lit(1)), F.lit(BLOOM))]
 
 
 def bloom_of(ids: DataFrame) -> np.ndarray:
     """A Bloom filter of a column of longs: BLOOM bits, so of one size for any number of ids."""
-    bit = F.explode(F.array(F.pmod(F.xxhash64("id"), F.lit(BLOOM)), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(BLOOM)))).alias("bit")
-    marks = ids.select(F.col(ids.columns[0]).alias("id")).select(bit).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    bit = ids.select(F.explode(F.array(*bloom_bits(F.col(ids.columns[0])))).alias("bit"))
+    marks = bit.groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     out = np.zeros(BLOOM // 64, np.int64)
     for word, bits in marks.collect():  # at most BLOOM / 64 rows
         out[word] = bits
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    return out.view(np.uint8)
+
+
+def passes(marks: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    return (marks[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
 
 
 def sets_of(docs: DataFrame, size: int, nodes: DataFrame) -> DataFrame:
     """(node, set) of the documents whose ids are in nodes. A Bloom filter keeps the others' sets from being shuffled."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bloom_of(nodes)))
+    shared = docs.sparkSession.sparkContext.broadcast(bloom_of(nodes))
 
     def run(batches):
+        marks = shared.value
         for batch in batches:
-            found = [shingles(t.as_py(), size) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found) if found else [], pa.int64()))], ["node", "set"])
+            keep = passes(marks, np.asarray(batch.column(2))) & passes(marks, np.asarray(batch.column(3)))
+            batch = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists_of([shingles(t.as_py(), size) for t in batch.column(1)], pa.int64())], ["node", "set"])
 
-    def likely(batches):
+    rows = texts_of(docs.where("doc_id is not null"))
+    rows = rows.select("doc_id", "text", *[b.alias(f"b{k}") for k, b in enumerate(bloom_bits(F.col("doc_id")))])
+    return rows.mapInArrow(run, "node long, set array<long>").join(nodes, "node", "left_semi")
+
+
+def with_shared_tokens(rows: DataFrame) -> DataFrame:
+    """rows with prefix replaced by tokens: (pos, token) of those prefix tokens that several sets have, nearly."""
+    tokens = rows.where("doc_id is not null").select("f1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi"))
+    shared = rows.sparkSession.sparkContext.broadcast(bloom_of(tokens.where("lo < hi").select("token")))
+    bits = [F.transform("prefix", lambda t: bloom_bits(t)[0]).alias("b0"), F.transform("prefix", lambda t: bloom_bits(t)[1]).alias("b1")]
+
+    def run(batches):
         marks = shared.value
         for batch in batches:
-            keep = np.ones(batch.num_rows, bool)
-            for column in (2, 3):
-                bit = np.asarray(batch.column(column))
-                keep &= (marks[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
-            yield from run([batch.filter(pa.array(keep))])
+            at, flat = np.asarray(batch.column("prefix").offsets), np.asarray(batch.column("prefix").flatten())
+            at = at - at[0]
+            keep = np.ones(len(flat), bool)
+            for c in ("b0", "b1"):
+                keep &= passes(marks, np.asarray(batch.column(c).flatten()))
+            pos = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
+            cuts = np.concatenate([[0], np.cumsum(keep)])[at]
+            new = [pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x[keep], pa.int64())) for x in (pos, flat)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + new, [*names, "pos", "token"])
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM)).alias("b1"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(BLOOM)).alias("b2"))
-    return rows.mapInArrow(likely, "node long, set array<long>").join(nodes, "node", "left_semi")
+    names = [c for c in rows.columns if c != "prefix"]
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "prefix")
+    return rows.select(*names, "prefix", *bits).mapInArrow(run, f"{kinds}, pos array<bigint>, token array<bigint>")
 
 
 def similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
@@ -133,8 +183,14 @@ def similar(inter: Column, a: Column, b: Column, percent: int) -> Column:
 def may_link(percent: int) -> Column:
     """Size filter and parity bound on pairs with n_a, n_b, bits_a, bits_b."""
     a, b = F.col("n_a"), F.col("n_b")
-    differ = reduce(Column.__add__, [F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(SKETCH // 64)])
-    # |a xor b| >= differ, so the intersection is at most (a + b - differ) / 2
+
+    def folded(bits: str, other: str) -> Column:
+        """A sketch of twice the bits holds the smaller one: its halves differ by the elements of either."""
+        half = (F.size(bits) / 2).cast("int")
+        return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
+
+    differ = F.aggregate(F.zip_with(folded("bits_a", "bits_b"), folded("bits_b", "bits_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    # the symmetric difference has at least `differ` elements, so the intersection has at most (a + b - differ) / 2
     return (percent * F.greatest(a, b) <= 100 * F.least(a, b)) & similar(F.floor((a + b - differ) / 2), a, b, percent)
 
 
@@ -156,9 +212,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, p
     return out
 
 
-def hot_tokens(postings: DataFrame) -> np.ndarray:
+def hot_tokens(tokens: DataFrame) -> np.ndarray:
     """The tokens of most documents: at most HOT_TOKENS of them."""
-    counts = postings.groupBy("token").count().where(F.col("count") >= HOT_FROM)
+    counts = tokens.groupBy("token").count().where(F.col("count") >= HOT_FROM)
     counts = stored(counts, "hot")
     level = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("level")).count().collect()
     least, total = HOT_FROM, 0
@@ -174,19 +230,17 @@ def hot_tokens(postings: DataFrame) -> np.ndarray:
 
 def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id for each row."""
-    first = sketches(docs, size, percent)
-    hot = hot_tokens(first.where("doc_id is not null").select("f1", "f2", "prefix").dropDuplicates(["f1", "f2"]).select(F.explode("prefix").alias("token")))
-    rows = stored(sketches(docs, size, percent, hot), "sketches")
+    rows = stored(sketches(docs, size, percent, hot_tokens(prefix_tokens(docs, size, percent))), "sketches")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"))
     classes = stored(classes, "classes")
-    full = rows.join(classes, ["f1", "f2"]).where("doc_id = node").select("node", "n", "bits", "prefix").dropDuplicates(["node", "n"])
-    full = stored(full.withColumn("group", F.xxhash64("n", "prefix")).withColumn("check", F.hash("prefix", "n")), "full")
+    full = with_shared_tokens(rows).join(classes, ["f1", "f2"]).where("doc_id = node").select("node", "n", "g1", "g2", "bits", "pos", "token").dropDuplicates(["node", "g1", "g2"])
+    full = stored(full, "full")
     # groups: one row for each prefix and size, named by its smallest node
-    groups = full.groupBy("group", "check", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
-    members = stored(full.select("node", "n", "group", "check").join(groups, ["group", "check", "n"]).select("node", "n", "gid", "members"), "members")
+    groups = full.groupBy("g1", "g2", "n").agg(F.min("node").alias("gid"), F.count("*").alias("members"))
+    members = stored(full.select("node", "n", "g1", "g2").join(groups, ["g1", "g2", "n"]).select("node", "n", "gid", "members"), "members")
     heads = full.join(groups.select(F.col("gid").alias("node"), "n", "members"), ["node", "n"])
     span = F.floor(F.log("n") / -np.log(percent / 100)).cast("int")  # linked sizes are in one band or in neighbouring bands
-    lists = heads.select(F.col("node").alias("gid"), "n", "members", span.alias("band"), F.posexplode("prefix").alias("pos", "token"))
+    lists = heads.select(F.col("node").alias("gid"), "n", "members", span.alias("band"), F.explode(F.arrays_zip("pos", "token")).alias("at")).select("gid", "n", "members", "band", "at.pos", "at.token")
     shared = lists.groupBy("token").agg(F.sum("members").alias("k")).where("k > 1").select("token")
     lists = stored(lists.drop("members").join(shared, "token", "left_semi"), "lists")
 
