@@ -261,21 +261,22 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
         parts = now.groupBy("gid", "n", "comp").agg(F.min_by("node", F.xxhash64("node")).alias("node"))
         each = lists.join(parts.select("gid", "n", "comp", "node"), ["gid", "n"])
         several = each.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        each = stored(each.join(several, "token", "left_semi"), "open")
         if not last:
+            each = stored(each.join(several, "token", "left_semi"), "open")
             centre = each.groupBy("token").agg(F.min_by("node", F.xxhash64("node", "token")).alias("b"), F.min_by("comp", F.xxhash64("node", "token")).alias("comp_b"))
             pairs = each.join(centre, "token").where("comp != comp_b").select(F.col("node").alias("a"), "b")
             inner = parts.groupBy("gid").agg(F.min("node").alias("b"), F.count("*").alias("k")).where("k > 1")
             pairs = pairs.union(parts.join(inner, "gid").select(F.col("node").alias("a"), "b"))
         else:
-            cols = ["token", "gid", "n", "pos", "comp"]
-            left, right = each.select(*cols).toDF("token", "g", "n_g", "pos_g", "c"), each.select(*cols).toDF("token", "h", "n_h", "pos_h", "d")
-            need = F.ceil((F.col("n_g") + F.col("n_h")) * percent / (100 + percent) - 1e-9)
-            most = F.least(F.col("n_g") - F.col("pos_g"), F.col("n_h") - F.col("pos_h")) + F.least("pos_g", "pos_h")
-            met = left.join(right, "token").where((F.col("c") < F.col("d")) & (percent * F.greatest("n_g", "n_h") <= 100 * F.least("n_g", "n_h")) & (most >= need))
-            met = met.select("g", "n_g", "c", "h", "n_h", "d").distinct()
-            side = now.select("gid", "n", "comp", "node")
-            pairs = met.join(side.toDF("g", "n_g", "c", "a"), ["g", "n_g", "c"]).join(side.toDF("h", "n_h", "d", "b"), ["h", "n_h", "d"]).select("a", "b")
+            # the groups of tokens that are still open, expanded to their members; a pair leaves the join only if its
+            # components, sizes, places and sketches allow a link
+            open_ = lists.join(several, "token", "left_semi").join(now.select("gid", "n", "comp", "node"), ["gid", "n"])
+            each = stored(open_.join(full.select("node", "n", "bits"), ["node", "n"]).select("token", "pos", "node", "n", "comp", "bits"), "open")
+            left, right = each.toDF("token", "pos_a", "a", "n_a", "c", "bits_a"), each.toDF("token", "pos_b", "b", "n_b", "d", "bits_b")
+            need = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent) - 1e-9)
+            most = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + F.least("pos_a", "pos_b")
+            met = left.join(right, (left["token"] == right["token"]) & (F.col("c") < F.col("d")) & (percent * F.greatest("n_a", "n_b") <= 100 * F.least("n_a", "n_b")) & (most >= need) & may_link(percent))
+            pairs = met.select("a", "b").distinct()
         got = verified(pairs, full, docs, size, percent)
         discard(each)
         if got is not None:
