@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
 1. Lines are compared trimmed and lower-cased; lines under LEAST_CHARS characters are never removed. Equal lines are one.
-2. Signature: the character shingles of ANCHOR characters that begin at word starts, RANK x BANDS minimum hashes over them.
-   Shingles at word starts are a sixth of all and are used for the choice of candidates only.
+2. Signature: RANK x BANDS minimum hashes over character shingles, those of up to ANCHOR characters that begin at word starts
+   and reach into the next word. They are a sixth of all shingles and serve for the choice of candidates only. One hash
+   of a shingle is put in another order for each minimum by XOR with a constant.
 3. Banding: lines that agree in all hashes of a band share a bucket. A bucket's lines are first checked against its
-   smallest line; then, in buckets whose lines are still in several components, against one another across components.
+   most frequent line; then, in buckets whose lines are still in several components, across components.
 4. Verification: exact Jaccard similarity, at least 0.8, of the sets of all shingles of SHINGLE characters.
 5. Distributed union-find joins verified pairs; of each component the first line (by doc_id, then line number) stays.
 
@@ -15,6 +16,7 @@ other columns are ignored by find_duplicates() and kept by remove_lines().
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -37,39 +39,41 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def buckets(distinct: DataFrame) -> DataFrame:
-    """(id, line), partitioned by both -> (bucket, id), a row for each band."""
-    anchor = F.regexp_extract_all("line", F.lit(rf"(?<!\S)(?=(\S.{{0,{ANCHOR - 1}}}))"), F.lit(1))
-    each = distinct.select("id", "line", F.explode(anchor).alias("s"))
-    hashes = [F.min(F.xxhash64("s", F.lit(k))).alias(f"h{k}") for k in range(RANK * BANDS)]
-    signed = each.withColumn("s", F.xxhash64("s")).groupBy("id", "line").agg(*hashes)
+    """(id, line, n), partitioned by id and line -> (bucket, id, n), a row for each band."""
+    each = distinct.select("id", "line", "n", F.split("line", " ").alias("w")).select("id", "line", "n", F.posexplode("w").alias("pos", "word"), "w")
+    pair = F.concat_ws(" ", "word", F.get("w", F.col("pos") + 1))
+    each = each.select("id", "line", "n", F.xxhash64(F.substring(pair, 1, ANCHOR)).alias("s"))
+    salts = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(RANK * BANDS)]
+    hashes = [F.min(F.col("s").bitwiseXOR(F.lit(c))).alias(f"h{k}") for k, c in enumerate(salts)]
+    signed = each.groupBy("id", "line").agg(F.max("n").alias("n"), *hashes)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * RANK + r}" for r in range(RANK)]) for b in range(BANDS)])
-    return signed.select("id", F.explode(bands).alias("bucket"))
+    return signed.select("id", "n", F.explode(bands).alias("bucket"))
 
 
 def shingle_set(line: Column) -> Column:
-    """All shingles of SHINGLE characters, hashed; a line is at least LEAST_CHARS long."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+    """All shingles of SHINGLE characters; a line is at least LEAST_CHARS long."""
+    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """pairs (a, b) of line ids -> stored pairs whose lines are similar; found: (id, line) of at least those lines."""
     pairs = stored(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(found.join(ids, "id", "left_semi").select("id", "line").distinct().select("id", shingle_set(F.col("line")).alias("set")), "sets")
+    texts = stored(found.select("id", "line").join(ids, "id", "left_semi").distinct(), "texts")
+    met = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b").select("a", "b", shingle_set(F.col("line_a")).alias("set_a"), shingle_set(F.col("line_b")).alias("set_b"))
     size_a, size_b, inter = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
-    met = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    met = met.where((size_a >= SIMILAR * size_b) & (size_b >= SIMILAR * size_a)).where(inter >= SIMILAR * (size_a + size_b - inter))
-    out = stored(met.select("a", "b").distinct(), "linked")
+    out = stored(met.where(inter >= SIMILAR * (size_a + size_b - inter)).select("a", "b"), "linked")
     discard(pairs)
-    discard(sets)
+    discard(texts)
     return out
 
 
 def find_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_key, text_hash, removed (ascending numbers of the lines to remove), stored; only documents that lose lines."""
     found = lines(docs)
-    keyed = stored(buckets(found.select("id", "line").distinct()), "buckets")
-    hubs = keyed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub < other").select("bucket", "hub")
+    keyed = stored(buckets(found.groupBy("id", "line").agg(F.count("*").alias("n"))), "buckets")
+    frequent = F.max_by("id", F.shiftleft(F.least("n", F.lit(1 << 20)), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1))))
+    hubs = keyed.groupBy("bucket").agg(frequent.alias("hub"), F.count("*").alias("k")).where("k > 1").select("bucket", "hub")
     keyed = stored(keyed.join(hubs, "bucket"), "shared")
     linked = [verified(keyed.select(F.col("id").alias("a"), F.col("hub").alias("b")), found)]
     comp = stored(components(linked[0]), "components")
