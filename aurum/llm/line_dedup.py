@@ -5,7 +5,9 @@
    and reach into the next word. They are a sixth of all shingles and serve for the choice of candidates only. One hash
    of a shingle is put in another order for each minimum by XOR with a constant.
 3. Banding: lines that agree in all hashes of a band share a bucket. A bucket's lines are first checked against its
-   most frequent line; then, in buckets whose lines are still in several components, across components.
+   most frequent line; in buckets whose lines are still in several components, against a line of another component; last,
+   across components. A pair leaves that last join only if its sizes and parity sketches allow the similarity: two sketches
+   differ in no more bits than the sets differ in shingles, so the bound is exact and drops no similar pair.
 4. Verification: exact Jaccard similarity, at least 0.8, of the sets of all shingles of SHINGLE characters.
 5. Distributed union-find joins verified pairs; of each component the first line (by doc_id, then line number) stays.
 
@@ -24,6 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import components, discard, stored, table
 
 LEAST_CHARS, SHINGLE, SIMILAR, ANCHOR, RANK, BANDS = 20, 5, 0.8, 10, 3, 7
+#: Longs of a parity sketch.
+SKETCH = 8
 KEY = ["doc_key", "text_hash"]
 
 
@@ -55,6 +59,21 @@ def shingle_set(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
+def sketches(ids: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, size, k0 .. of SKETCH longs) of the lines with these ids: how many shingles, and the parity of those of each bit."""
+    each = found.select("id", "line").join(ids, "id", "left_semi").distinct().select("id", F.explode(shingle_set(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
+    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.pmod(F.shiftrightunsigned("h", 6), F.lit(SKETCH))
+    return each.groupBy("id").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{w}") for w in range(SKETCH)])
+
+
+def may_link() -> Column:
+    """Bound on pairs with size, k0 .. of either side: the symmetric difference has at least the bits in which the sketches differ."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"l.k{w}").bitwiseXOR(F.col(f"r.k{w}"))) for w in range(SKETCH)])
+    a, b = F.col("l.size"), F.col("r.size")
+    inter = F.floor((a + b - differ) / 2)
+    return (F.least(a, b) >= SIMILAR * F.greatest(a, b)) & (inter >= SIMILAR * (a + b - inter))
+
+
 def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """pairs (a, b) of line ids -> stored pairs whose lines are similar; found: (id, line) of at least those lines."""
     pairs = stored(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -77,15 +96,35 @@ def find_duplicates(docs: DataFrame) -> DataFrame:
     keyed = stored(keyed.join(hubs, "bucket"), "shared")
     linked = [verified(keyed.select(F.col("id").alias("a"), F.col("hub").alias("b")), found)]
     comp = stored(components(linked[0]), "components")
-    now = keyed.join(comp, keyed["id"] == comp["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"), "hub")
-    several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    now = stored(now.join(several, "bucket", "left_semi").where("id != hub"), "open")
-    across = now.select("bucket", F.col("id").alias("a"), F.col("comp").alias("c")).join(now.select("bucket", F.col("id").alias("b"), F.col("comp").alias("d")), "bucket").where("c < d").select("a", "b").distinct()
-    across = stored(across, "across")
-    if across.take(1):
-        linked.append(verified(across, found))
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        """(bucket, id, comp) of the buckets whose lines are in several components."""
+        now = rows.join(comp, rows["id"] == comp["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+        several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+        return stored(now.join(several, "bucket", "left_semi"), "open")
+
+    now = still_open(keyed.where("id != hub").select("bucket", "id"))
+    if now.take(1):
+        # a second star, around a line that a hash picks
+        centre = now.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket")).alias("centre"))
+        pairs = now.join(centre, "bucket").where("comp != centre.comp").select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
+        linked.append(verified(pairs, found))
+        discard(comp)
         comp = stored(components(reduce(DataFrame.union, linked)), "components")
-    for x in (keyed, now, across):
+        rows = now.join(centre, "bucket").where("id != centre.id").select("bucket", "id")
+        last = still_open(rows)
+        bits = stored(sketches(last.select("id").distinct(), found), "bits")
+        each = stored(last.join(bits, "id"), "sketched")
+        left, right = each.alias("l"), each.alias("r")
+        met = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & may_link())
+        across = stored(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "across")
+        if across.take(1):
+            linked.append(verified(across, found))
+            discard(comp)
+            comp = stored(components(reduce(DataFrame.union, linked)), "components")
+        for x in (last, bits, each, across):
+            discard(x)
+    for x in (keyed, now):
         discard(x)
     places = stored(found.select(*KEY, "line_no", "id").join(comp, F.col("id") == F.col("node"), "left").select(*KEY, "line_no", F.coalesce("component", "id").alias("comp")), "places")
     place = F.struct(*KEY, "line_no")
