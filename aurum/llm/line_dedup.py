@@ -3,7 +3,7 @@
 1. Lines are compared trimmed and lower-cased; lines under LEAST_CHARS characters are never removed. Equal lines are one.
 2. Signature: RANK x BANDS minimum hashes over character shingles, those of up to ANCHOR characters that begin at word starts
    and reach into the next word. They are a sixth of all shingles and serve for the choice of candidates only. One hash
-   of a shingle is put in another order for each minimum by XOR with a constant.
+   (32 bits) of a shingle is put in another order for each minimum by XOR with a constant.
 3. Banding: lines that agree in all hashes of a band share a bucket. A bucket's lines are first checked against its
    most frequent line; in buckets whose lines are still in several components, against a line of another component; last,
    across components. A pair leaves that last join only if its sizes and parity sketches allow the similarity: two sketches
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, discard, stored, table
 
-LEAST_CHARS, SHINGLE, SIMILAR, ANCHOR, RANK, BANDS = 20, 5, 0.8, 10, 3, 7
+LEAST_CHARS, SHINGLE, SIMILAR, ANCHOR, RANK, BANDS = 20, 5, 0.8, 10, 4, 9
 #: Longs of a parity sketch.
 SKETCH = 8
 KEY = ["doc_key", "text_hash"]
@@ -42,14 +42,14 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.withColumn("id", F.xxhash64("line"))
 
 
-def buckets(distinct: DataFrame) -> DataFrame:
-    """(id, line, n), partitioned by id and line -> (bucket, id, n), a row for each band."""
-    each = distinct.select("id", "line", "n", F.split("line", " ").alias("w")).select("id", "line", "n", F.posexplode("w").alias("pos", "word"), "w")
+def buckets(found: DataFrame) -> DataFrame:
+    """lines() -> (bucket, id, n), a row for each band; n: how often the line occurs. Only ids and minima are shuffled, not lines."""
+    each = found.select("id", F.split("line", " ").alias("w")).select("id", F.posexplode("w").alias("pos", "word"), "w")
     pair = F.concat_ws(" ", "word", F.get("w", F.col("pos") + 1))
-    each = each.select("id", "line", "n", F.xxhash64(F.substring(pair, 1, ANCHOR)).alias("s"))
-    salts = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:8], "big", signed=True) for k in range(RANK * BANDS)]
+    each = each.select("id", F.when(F.col("pos") == 0, 1).otherwise(0).alias("one"), F.hash(F.substring(pair, 1, ANCHOR)).alias("s"))
+    salts = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:4], "big", signed=True) for k in range(RANK * BANDS)]
     hashes = [F.min(F.col("s").bitwiseXOR(F.lit(c))).alias(f"h{k}") for k, c in enumerate(salts)]
-    signed = each.groupBy("id", "line").agg(F.max("n").alias("n"), *hashes)
+    signed = each.groupBy("id").agg(F.sum("one").alias("n"), *hashes)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * RANK + r}" for r in range(RANK)]) for b in range(BANDS)])
     return signed.select("id", "n", F.explode(bands).alias("bucket"))
 
@@ -90,7 +90,7 @@ def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
 def find_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_key, text_hash, removed (ascending numbers of the lines to remove), stored; only documents that lose lines."""
     found = lines(docs)
-    keyed = stored(buckets(found.groupBy("id", "line").agg(F.count("*").alias("n"))), "buckets")
+    keyed = stored(buckets(found), "buckets")
     frequent = F.max_by("id", F.shiftleft(F.least("n", F.lit(1 << 20)), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1))))
     hubs = keyed.groupBy("bucket").agg(frequent.alias("hub"), F.count("*").alias("k")).where("k > 1").select("bucket", "hub")
     keyed = stored(keyed.join(hubs, "bucket"), "shared")
