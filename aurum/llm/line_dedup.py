@@ -1,10 +1,10 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
 1. Lines are compared trimmed and lower-cased; lines under LEAST_CHARS characters are never removed. Equal lines are one.
-2. Signature: RANK x BANDS minimum hashes over character shingles, those of up to ANCHOR characters that begin at word starts
-   and reach into the next word. They are a sixth of all shingles and serve for the choice of candidates only. One hash
-   (32 bits) of a shingle is put in another order for each minimum by XOR with a constant.
-3. Banding: lines that agree in all hashes of a band share a bucket. A bucket's lines are first checked against its
+2. Signature: RANK x BANDS minimum hashes over all shingles of SHINGLE characters, the same sets that are verified, whatever
+   the language and wherever the blanks are. One hash (32 bits) of a shingle is put in another order for each minimum by
+   XOR with a constant.
+3. Banding: lines that agree in all hashes of a band share a bucket; of pairs with similarity 0.8, over 99 % should. A bucket's lines are first checked against its
    most frequent line; in buckets whose lines are still in several components, against a line of another component; last,
    across components. A pair leaves that last join only if its sizes and parity sketches allow the similarity: two sketches
    differ in no more bits than the sets differ in shingles, so the bound is exact and drops no similar pair.
@@ -25,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import components, discard, stored, table
 
-LEAST_CHARS, SHINGLE, SIMILAR, ANCHOR, RANK, BANDS = 20, 5, 0.8, 10, 4, 9
+LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS = 20, 5, 0.8, 4, 9
+#: Shingles that one row of the signature holds (a line has at least 16), and those of a block of a line.
+WIDE, BLOCK = 8, 256
 #: Longs of a parity sketch.
 SKETCH = 8
 KEY = ["doc_key", "text_hash"]
@@ -42,14 +44,25 @@ def lines(docs: DataFrame) -> DataFrame:
     return cut.withColumn("id", F.xxhash64("line"))
 
 
+def shingled(found: DataFrame) -> DataFrame:
+    """lines() -> (id, one, s0 .. of WIDE ints): hashes of WIDE shingles that follow each other; every shingle of a line is in some row, one is 1 in its first row only."""
+    n = F.char_length("line") - (SHINGLE - 1)
+    # blocks keep the cost of substring() in proportion to the line; the last block and row reach back, so that each is full
+    at = F.least(F.col("k") * BLOCK, n - WIDE)
+    each = found.select("id", "line", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).alias("k"))
+    each = each.select("id", "k", F.substring("line", at + 1, F.lit(BLOCK + SHINGLE - 1)).alias("block"))
+    n = F.char_length("block") - (SHINGLE - 1)
+    at = F.least(F.col("j") * WIDE, n - WIDE)
+    each = each.select("id", "k", "block", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / WIDE).cast("int"))).alias("j"))
+    each = each.select("id", F.when((F.col("k") == 0) & (F.col("j") == 0), 1).otherwise(0).alias("one"), F.substring("block", at + 1, F.lit(WIDE + SHINGLE - 1)).alias("part"))
+    return each.select("id", "one", *[F.hash(F.substring("part", i + 1, SHINGLE)).alias(f"s{i}") for i in range(WIDE)])
+
+
 def buckets(found: DataFrame) -> DataFrame:
     """lines() -> (bucket, id, n), a row for each band; n: how often the line occurs. Only ids and minima are shuffled, not lines."""
-    each = found.select("id", F.split("line", " ").alias("w")).select("id", F.posexplode("w").alias("pos", "word"), "w")
-    pair = F.concat_ws(" ", "word", F.get("w", F.col("pos") + 1))
-    each = each.select("id", F.when(F.col("pos") == 0, 1).otherwise(0).alias("one"), F.hash(F.substring(pair, 1, ANCHOR)).alias("s"))
     salts = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:4], "big", signed=True) for k in range(RANK * BANDS)]
-    hashes = [F.min(F.col("s").bitwiseXOR(F.lit(c))).alias(f"h{k}") for k, c in enumerate(salts)]
-    signed = each.groupBy("id").agg(F.sum("one").alias("n"), *hashes)
+    hashes = [F.min(F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(c)) for i in range(WIDE)])).alias(f"h{k}") for k, c in enumerate(salts)]
+    signed = shingled(found).groupBy("id").agg(F.sum("one").alias("n"), *hashes)
     bands = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * RANK + r}" for r in range(RANK)]) for b in range(BANDS)])
     return signed.select("id", "n", F.explode(bands).alias("bucket"))
 

@@ -183,6 +183,31 @@ def test_line_dedup_repeated_rows(spark):
     assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def found_pairs(spark, pairs):
+    """How many pairs (line, near copy) lose the near copy."""
+    docs = table(spark, ["\n".join(x for p in pairs for x in p)])
+    gone = set(line_dedup.remove_lines(docs).first()["removed"])
+    return sum(2 * k + 1 in gone for k in range(len(pairs)))
+
+
+def shingle_similarity(a, b):
+    a, b = ({x[i : i + 5] for i in range(len(x) - 4)} for x in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_line_dedup_recall_at_the_threshold(spark):
+    rng, pairs = random.Random(15), []
+    while len(pairs) < 400:
+        line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(rng.choice([50, 100, 250]))).strip()
+        line = "x".join(line.split("  "))
+        near = list(line)
+        for _ in range(max(1, round(len(line) * rng.uniform(0.01, 0.03)))):
+            near[rng.randrange(1, len(near) - 1)] = rng.choice("0123456789")
+        if 0.8 <= shingle_similarity(line, "".join(near)) < 0.9:
+            pairs.append((line, "".join(near)))
+    assert found_pairs(spark, pairs) >= 0.97 * len(pairs)
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
