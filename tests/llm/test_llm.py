@@ -208,6 +208,18 @@ def test_line_dedup_recall_at_the_threshold(spark):
     assert found_pairs(spark, pairs) >= 0.97 * len(pairs)
 
 
+def test_line_dedup_without_blanks(spark):
+    rng, pairs = random.Random(16), []
+    letters = "".join(chr(0x4E00 + k) for k in range(900))
+    while len(pairs) < 200:
+        body = "".join(rng.choice(letters if len(pairs) % 2 else "abcdefghijklmnopqrstuvwxyz/_\t") for _ in range(60))
+        heads = rng.sample(["", "#17.", "#9)", "(42)", "-"], 2)
+        pair = tuple((h + body).strip() for h in heads)
+        if shingle_similarity(*pair) >= 0.8:
+            pairs.append(pair)
+    assert found_pairs(spark, pairs) >= 0.97 * len(pairs)
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
