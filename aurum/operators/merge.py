@@ -8,6 +8,7 @@ batch and history.
 from __future__ import annotations
 
 import json
+from collections import defaultdict
 from datetime import datetime
 from typing import Any
 
@@ -67,16 +68,43 @@ def accept(state: dict, delta: Any, rules: list[dict], target_updated: datetime
     return out or None
 
 
-def fold_entity(stored: dict | None, events: list[dict], rules: list[dict], now: datetime, tracked: bool = True) -> tuple[dict | None, list[dict], list[dict]]:
+def source_of(e: dict) -> tuple:
+    """What identifies a source entity; names of systems and types are compared without case."""
+    return e["DataSource"].lower(), e["SourceEntityType"].lower(), e["SourceEntityId"]
+
+
+def fold_entity(stored: dict | None, events: list[dict], rules: list[dict], now: datetime, tracked: bool = True, history: dict[tuple, list[dict]] | None = None) -> tuple[dict | None, list[dict], list[dict]]:
     """Events of one golden entity in version order -> (entity, new log entries, results).
 
     An event is staged on a copy; only if all of it succeeds does the copy become the state, else its supplied fields are
-    offered again by a later event of the same source that still holds them. Events before the entity's creation are dropped."""
+    offered again by a later event of the same source that still holds them. Events before the entity's creation are dropped.
+    history (source -> its log entries) is what the sources have said so far; what they say now is added to it. An event is
+    compared with its source's state as of its time; one from before the source's last Init changes nothing."""
     state, log, results, skipped = (dict(stored) if stored else None), [], [], {}
-    sources: dict[tuple, dict] = {}
+    history = {} if history is None else history
+    latest: dict[tuple, tuple] = {}  # the state that a source's whole history gives, and the time of its last entry
+
+    def as_of(source: tuple, at: datetime) -> dict | None:
+        entries = history.get(source)
+        if not any(x["EntryType"] == "Init" for x in entries or ()):
+            return None
+        named = [x | {"EntityType": x["SourceEntityType"], "EntityId": x["SourceEntityId"]} for x in entries] if source not in latest or at < latest[source][1] else []
+        if source not in latest:
+            latest[source] = D.strip_base(D.replay(named) or {}), max(D.as_instant(x["Timestamp"]) for x in entries)
+        return latest[source][0] if at >= latest[source][1] else D.strip_base(D.replay(named, at) or {})
+
+    def track(source: tuple, ident: dict, kind: str, at: datetime, data: dict, whole: dict) -> None:
+        entries = history.setdefault(source, [])
+        order = max([int(now.timestamp() * 1e6), *(x["_ts"] + 1 for x in entries[-1:])])
+        entries.append({**ident, "EntryType": kind, "Timestamp": at.isoformat(), "_ts": order, "id": f"{order:020d}", "Data": data})
+        if len(entries) == 1 or source in latest and at >= latest[source][1]:
+            latest[source] = whole, at
+        else:
+            latest.pop(source, None)
+
     for e in events:
         ident = {"DataSource": e["DataSource"], "SourceEntityType": e["SourceEntityType"], "SourceEntityId": e["SourceEntityId"]}
-        source = tuple(ident.values())
+        source = source_of(e)
         try:
             changed = D.as_instant(e["Data"].get("lastUpdated"), required="lastUpdated")
             data = D.strip_base(e["Data"])
@@ -85,20 +113,28 @@ def fold_entity(stored: dict | None, events: list[dict], rules: list[dict], now:
             if state is None:
                 created = D.as_instant(e["Data"].get("createdOn"), required="createdOn")
                 state = D.strip_nulls(data) | {"id": e["EntityId"], "entityType": e["EntityType"], "createdOn": created.isoformat(), "lastUpdated": changed.isoformat(), "alternateKeys": merge_keys([key], e["Data"].get("alternateKeys") or [])}
-                sources[source] = data
+                track(source, ident, "Init", created, D.strip_nulls(data), D.strip_nulls(data))
                 log.append({**ident, "EntryType": "Init", "Timestamp": created.isoformat(), "Data": D.strip_nulls(data)})
                 results.append(ident | {"Outcome": CREATED})
                 continue
-            before = sources.get(source)
+            before, whole, said = as_of(source, changed), None, None
+            started = [D.as_instant(x["Timestamp"]) for x in history.get(source, ()) if x["EntryType"] == "Init"]
             if before is not None:
                 # omitted fields are unchanged, nulls delete; fields of a refused event count as unseen
                 known = {k: v for k, v in before.items() if k not in skipped.get(source, ())}
                 delta = D.diff(D.strip_nulls(known), D.strip_nulls(D.deep_merge(known, data)))
+                whole = D.strip_nulls(D.deep_merge(before, data))
+                said = D.diff(D.strip_nulls(before), whole)
+                if changed < max(started):
+                    delta = None
             else:
                 own = D.strip_base(state)
                 own.pop("alternateKeys", None)
                 delta = D.diff(own, D.strip_nulls(D.deep_merge(own, data)))
+                whole = D.strip_nulls(data)
             if delta is None:
+                if before is None:
+                    track(source, ident, "Init", changed, whole, whole)
                 results.append(ident | {"Outcome": UNCHANGED})
                 continue
             own = D.strip_base(state)
@@ -110,7 +146,11 @@ def fold_entity(stored: dict | None, events: list[dict], rules: list[dict], now:
             if held not in ("DoNotUpdate", "NeverOverwrite"):
                 candidate["alternateKeys"] = merge_keys(state.get("alternateKeys") or [], [*(e["Data"].get("alternateKeys") or []), key])
             candidate["lastUpdated"] = max(D.as_instant(state["lastUpdated"]), changed).isoformat()
-            state, sources[source] = candidate, D.deep_merge(before or {}, data)
+            state = candidate
+            if before is None:
+                track(source, ident, "Init", changed, whole, whole)
+            elif said is not None:
+                track(source, ident, "Update", changed, said, whole)
             skipped.pop(source, None)
             if kept is not None and tracked:
                 log.append({**ident, "EntryType": "Update", "Timestamp": changed.isoformat(), "Data": kept})
@@ -141,24 +181,36 @@ def _retarget(base: Any, delta: Any) -> Any:
     return out
 
 
-def merge_batch(requests: DataFrame, stored: DataFrame, rules: list[dict], now: datetime, tracked: bool = True) -> DataFrame:
+def merge_batch(requests: DataFrame, stored: DataFrame, rules: list[dict], now: datetime, tracked: bool = True, history: DataFrame | None = None) -> DataFrame:
     """requests (EntityId, EntityType, DataSource, SourceEntityType, SourceEntityId, ts, ord, Data JSON), resolved to golden
-    ids; stored (EntityId, doc JSON) -> tagged rows: EntityId, kind (entity, log, result), payload JSON.
+    ids; stored (EntityId, doc JSON); history (EntityId, entry JSON), the log entries of the sources, in the order of replay
+    -> tagged rows: EntityId, kind (entity, log, source, result), payload JSON; a source row is a new log entry of a source.
 
     One shuffle by EntityId brings events and entity together; the fold then writes an entity once for the whole batch."""
 
     def fold(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(["ts", "ord"], kind="stable", na_position="last")
         events = [r | {"Data": json.loads(r["Data"])} for r in left.to_dict("records")]
-        doc = json.loads(right["doc"].iloc[0]) if len(right) else None
+        docs, past = right["doc"].dropna(), defaultdict(list)
+        doc = json.loads(docs.iloc[0]) if len(docs) else None
+        for entry in map(json.loads, right["entry"].dropna()):
+            past[source_of(entry)].append(entry | {"Data": json.loads(entry["Data"])})
+        for entries in past.values():
+            entries.sort(key=lambda x: (D.as_instant(x["Timestamp"]), x["_ts"] or 2**63 - 1, x["id"]))
+        old = {id(x) for entries in past.values() for x in entries}
         if not events:
             return pd.DataFrame({"EntityId": [], "kind": [], "payload": []}, dtype=str)
-        entity, log, results = fold_entity(doc, events, rules, now, tracked)
+        entity, log, results = fold_entity(doc, events, rules, now, tracked, past)
         rows = [("entity", entity)] if entity is not None and entity != doc else []
         rows += [("log", x) for x in log] + [("result", x) for x in results]
+        if tracked:
+            rows += [("source", x) for entries in past.values() for x in entries if id(x) not in old]
         return pd.DataFrame([{"EntityId": key[0], "kind": k, "payload": D.canonical(p)} for k, p in rows])
 
-    stored = stored.join(requests.select("EntityId").distinct(), "EntityId", "left_semi").select("EntityId", "doc")
+    none = F.lit(None).cast("string")
+    stored = stored.join(requests.select("EntityId").distinct(), "EntityId", "left_semi").select("EntityId", "doc", none.alias("entry"))
+    if history is not None:
+        stored = stored.unionByName(history.select("EntityId", none.alias("doc"), "entry"))
     return requests.groupBy("EntityId").cogroup(stored.groupBy("EntityId")).applyInPandas(fold, "EntityId string, kind string, payload string")
 
 

@@ -83,7 +83,7 @@ class Service:
         rows = rows.withColumn("EntityId", F.coalesce("resolved", "match", F.substring(fresh, 1, 32)))
         ts = F.try_to_timestamp(F.get_json_object("Data", "$.lastUpdated"))
         ready = rows.where("matches < 2").select("EntityId", "EntityType", "DataSource", "SourceEntityType", "SourceEntityId", ts.alias("ts"), "ord", "Data")
-        out = M.merge_batch(ready, entities.select(F.col("id").alias("EntityId"), "doc"), rules, now, tracked)
+        out = M.merge_batch(ready, entities.select(F.col("id").alias("EntityId"), "doc"), rules, now, tracked, self.source_history(ready) if tracked else None)
         out = self._kept(out)
         part = lambda kind, schema: out.where(F.col("kind") == kind).select("EntityId", F.from_json("payload", schema).alias("p"), "payload")
         results = part("result", "DataSource string, SourceEntityType string, SourceEntityId string, Outcome string, Error string").select("EntityId", "p.*")
@@ -91,16 +91,24 @@ class Service:
         results = self._kept(results.unionByName(twice))
         golden = part("entity", "id string, entityType string, createdOn timestamp, lastUpdated timestamp, alternateKeys array<struct<Key:string,Value:string>>").select("p.*", F.col("payload").alias("doc"))
         if tracked:
-            log = part("log", "DataSource string, SourceEntityType string, SourceEntityId string, EntryType string, Timestamp timestamp").withColumn("Data", F.get_json_object("payload", "$.Data"))
+            entry = "DataSource string, SourceEntityType string, SourceEntityId string, EntryType string, Timestamp timestamp, _ts long"
+            log, said = (part(kind, entry).withColumn("Data", F.get_json_object("payload", "$.Data")) for kind in ("log", "source"))
             types = golden.select(F.col("id").alias("EntityId"), F.col("entityType").alias("GoldenType"))
             ident = F.sha2("payload", 256)
-            source = log.select("p.DataSource", F.col("p.SourceEntityType").alias("EntityType"), F.col("p.SourceEntityId").alias("EntityId"), ident.alias("id"), "p.EntryType", "p.Timestamp", F.lit(0).cast("long").alias("_ts"), "Data")
+            source = said.select("p.DataSource", F.col("p.SourceEntityType").alias("EntityType"), F.col("p.SourceEntityId").alias("EntityId"), ident.alias("id"), "p.EntryType", "p.Timestamp", "p._ts", "Data")
             hub = log.join(types, "EntityId").select(F.lit(HUB).alias("DataSource"), F.col("GoldenType").alias("EntityType"), "EntityId", F.sha2(F.concat(F.lit("hub"), "payload"), 256).alias("id"), "p.EntryType", "p.Timestamp", F.lit(0).cast("long").alias("_ts"), "Data")
             self.store.append("log", source.unionByName(hub))
         self.store.replace("entities", X.upsert(entities, golden, ["id"]))
         self.store.replace("failures", M.failure_log(self.table("failures"), results, ["DataSource", "SourceEntityType", "SourceEntityId"]))
         return results
 
+    def source_history(self, requests: DataFrame) -> DataFrame:
+        """(EntityId, entry JSON): the log entries of the sources of requests, with the golden id that each request goes to."""
+        log = self.table("log").where(F.col("DataSource") != HUB).withColumnRenamed("EntityType", "SourceEntityType").withColumnRenamed("EntityId", "SourceEntityId")
+        log = log.select(F.lower("DataSource").alias("ds"), F.lower("SourceEntityType").alias("st"), "SourceEntityId", F.to_json(F.struct("DataSource", "SourceEntityType", "SourceEntityId", "EntryType", F.date_format("Timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("Timestamp"), F.coalesce("_ts", F.lit(0)).alias("_ts"), "id", "Data")).alias("entry"))
+        wanted = requests.select("EntityId", F.lower("DataSource").alias("ds"), F.lower("SourceEntityType").alias("st"), "SourceEntityId").distinct()
+        return wanted.join(log, ["ds", "st", "SourceEntityId"]).select("EntityId", "entry")
+
     def _kept(self, rows: DataFrame) -> DataFrame:
         """Written once, so that a batch's outputs all come from one run of the fold."""
         name = f"batch-{uuid.uuid4().hex}"

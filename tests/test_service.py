@@ -44,6 +44,23 @@ def test_from_merge_to_rebase(spark, tmp_path):
     assert [r["id"] for r in hub.delete([ann, "none"], cascade=True).collect()] == ["none"] and hub.table("entities").count() == 1
 
 
+def test_a_source_is_compared_with_what_it_said_before(spark, tmp_path):
+    hub = Service(spark, str(tmp_path / "hub"), lambda: T0 + timedelta(hours=1))
+    name = lambda: json.loads(hub.table("entities").first()["doc"])["Name"]
+    hub.merge(requests(spark, ("Crm", "1", 1, {"Email": "a@x", "Name": "X"})), RULES)
+    hub.merge(requests(spark, ("Erp", "7", 2, {"Email": "a@x", "Name": "Y"})), RULES, same_as=["Email"])
+    assert name() == "Y"
+    before = hub.table("log").count()
+    again = hub.merge(requests(spark, ("Crm", "1", 3, {"Email": "a@x", "Name": "X"})), RULES)
+    assert [r["Outcome"] for r in again.collect()] == [M.UNCHANGED] and name() == "Y" and hub.table("log").count() == before
+    changed = hub.merge(requests(spark, ("CRM", "1", 4, {"Email": "a@x", "Name": "Z"})), RULES)
+    assert [r["Outcome"] for r in changed.collect()] == [M.UPDATED] and name() == "Z"
+    said = [(r["EntryType"], json.loads(r["Data"])) for r in hub.table("log").where("lower(DataSource) = 'crm'").orderBy("_ts").collect()]
+    assert said == [("Init", {"Email": "a@x", "Name": "X"}), ("Update", {"Name": ["X", "Z"]})]
+    late = hub.merge(requests(spark, ("Erp", "7", 1, {"Email": "a@x", "Name": "Y"})), RULES)
+    assert [r["Outcome"] for r in late.collect()] == [M.UNCHANGED], "it is older than the source's Init"
+
+
 def test_management(spark, tmp_path):
     hub = Service(spark, str(tmp_path / "hub"), lambda: T0)
     assert hub.marker("Crm", "Person", "zero") == "zero"
