@@ -4,7 +4,7 @@
 2. Signature: RANK x BANDS minimum hashes over all shingles of SHINGLE characters, the same sets that are verified, whatever
    the language and wherever the blanks are. One hash (32 bits) of a shingle is put in another order for each minimum by
    XOR with a constant.
-3. Banding: lines that agree in all hashes of a band share a bucket; of pairs with similarity 0.8, over 99 % should. A bucket's lines are first checked against its
+3. Banding: lines that agree in all hashes of a band share a bucket; about 99 % of pairs with similarity 0.80-0.85 do. A bucket's lines are first checked against its
    most frequent line; in buckets whose lines are still in several components, against a line of another component; last,
    across components. A pair leaves that last join only if its sizes and parity sketches allow the similarity: two sketches
    differ in no more bits than the sets differ in shingles, so the bound is exact and drops no similar pair.
