@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Bytes, about, that an operator may keep in a Python worker.
+CACHE_BYTES = 96 << 20
+#: A stored table of at most so many rows (or items in a list column) may be broadcast (some tens of MB); larger ones are shuffled.
+BROADCAST_ROWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,12 +35,52 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
+_held: dict = {}
+
+
+def worker_cache(name, make):
+    """What an operator keeps in a Python worker between tasks: one operator's cache at a time, so that a worker that runs
+    several operators in turn holds one budget (CACHE_BYTES, about) and not the sum of them."""
+    if name not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            try:  # give the memory back to the system, where the C library can
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):
+                pass
+        _held[name] = make()
+    return _held[name]
+
+
+class Words(dict):
+    """A cache word -> value(word) of CACHE_BYTES at most, about; long words are not kept."""
+
+    def __init__(self, value):
+        self.value, self.most = value, CACHE_BYTES // 256
+
+    def __missing__(self, word: bytes):
+        found = self.value(word)
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = found
+        return found
+
+
+def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if len(arrays) else [], kind))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master (tests) gets a
+    temporary one; a cluster's executors would each write to a disk of their own, so there it must be set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="aurum-")
             spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -58,6 +106,16 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """Marks a stored table of narrow rows for broadcasting if it is within the bound; weight: the items of a row."""
+    n = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
+    if n > BROADCAST_ROWS:
+        return df
+    out = F.broadcast(df)
+    out._aurum_path = df.__dict__.get("_aurum_path")
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -70,7 +128,7 @@ def ascii_lower(text: Column) -> Column:
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find by alternating large-star and small-star rounds.
 
-    edges: two columns of longs, in any order, repeats and self-links allowed. Returns (node, component), component
+    edges: two columns of longs (or of structs), in any order, repeats and self-links allowed. Returns (node, component), component
     being the smallest node reachable; only nodes with a link to another node appear. Every round is written to the
     shared folder, so that a lost executor costs one round at most and plans stay short.
     """

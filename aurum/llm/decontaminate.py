@@ -20,10 +20,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, small, stored, table
 
-#: A table of at most so many rows of test terms or windows may be broadcast (some tens of MB); larger ones are shuffled.
-BROADCAST_ROWS = 200_000
 KEY = ["doc_key", "text_hash"]
 
 
@@ -31,11 +29,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marks a stored table for broadcasting if it is within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def row_key() -> list[Column]:
     """doc_key is the doc_id, with a value of its own for null."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]

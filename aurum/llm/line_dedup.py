@@ -1,19 +1,26 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame operations only.
-
-1. Lines are compared trimmed and lower-cased; lines under LEAST_CHARS characters are never removed. Equal lines are one.
-2. Signature: RANK x BANDS minimum hashes over all shingles of SHINGLE characters, the same sets that are verified, whatever
-   the language and wherever the blanks are. One hash (32 bits) of a shingle is put in another order for each minimum by
-   XOR with a constant.
-3. Banding: lines that agree in all hashes of a band share a bucket; about 99 % of pairs with similarity 0.80-0.85 do. A bucket's lines are first checked against its
-   most frequent line; in buckets whose lines are still in several components, against a line of another component; last,
-   across components. A pair leaves that last join only if its sizes and parity sketches allow the similarity: two sketches
-   differ in no more bits than the sets differ in shingles, so the bound is exact and drops no similar pair.
+"""Fuzzy line deduplication by MinHash.
+
+1. Lines are compared without outer blanks and lower-cased; lines under LEAST_CHARS characters are never removed. A line's
+   identity is a 128-bit hash: equal lines are one.
+2. Signature: RANK x BANDS minimum hashes over all shingles of SHINGLE characters, the same sets that are verified. Each
+   minimum has a permutation of its own, h -> a h mod 2^32 with an odd constant a, of the shingle's mixed hash.
+3. Banding: lines that agree in all hashes of a band share a bucket (99 % of pairs of similarity 0.80, more above). A
+   bucket's lines are first paired with its smallest line, those of buckets that still are in several components with a line
+   that a hash picks, then, across components, with each other. A pair goes on to verification if two bits of each minimum
+   differ in at most DIFFER places: at similarity 0.8 a place differs with probability 0.15, so that 25 or more of 60 differ
+   in about one pair of a million.
 4. Verification: exact Jaccard similarity, at least 0.8, of the sets of all shingles of SHINGLE characters.
 5. Distributed union-find joins verified pairs; of each component the first line (by doc_id, then line number) stays.
 
-Defined cases: a null text has no lines and stays null; empty and short lines stay; rows with one doc_id and one text are
-treated alike; rows with one doc_id and different texts are kept apart by the hash of the text; a null doc_id comes first;
-other columns are ignored by find_duplicates() and kept by remove_lines().
+Signing and verifying are numpy and Python over Arrow batches: in DataFrame functions alone, hashing all shingles costs more
+than the budget before the first minimum (figures in the README). Everything else is DataFrame operations. The texts of
+lines are never shuffled but for those of candidate pairs. Buckets with more than one in HOT of all rows, found by counting
+a part of the rows, are aggregated before they are shuffled; which way a bucket goes does not change the result.
+
+Defined cases: a null text has no lines and stays null; empty and short lines stay; a null doc_id comes first; rows with one
+doc_id and different texts are told apart by the hash of the text; of rows that repeat doc_id and text one counts as the
+first, and the others lose all lines that count; an empty table gives an empty one; other columns are ignored by
+find_duplicates() and kept by remove_lines().
 """
 
 from __future__ import annotations
@@ -21,15 +28,17 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, discard, stored, table
+from .common import components, discard, lists_of, ship, small, stored, table
 
-LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS = 20, 5, 0.8, 4, 9
-#: Shingles that one row of the signature holds (a line has at least 16), and those of a block of a line.
-WIDE, BLOCK = 8, 256
-#: Longs of a parity sketch.
-SKETCH = 8
+LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS, DIFFER = 20, 5, 0.8, 5, 12, 24
+#: Characters that are signed at a time, and the part of all rows of a table that makes a key hot.
+CHUNK, HOT = 64_000, 2_000
+ODD = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:4], "big") | 1 for k in range(RANK * BANDS)]
 KEY = ["doc_key", "text_hash"]
 
 
@@ -37,127 +46,243 @@ def row_key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")]
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """doc_key, text_hash, line_no, line (normalised), id (of the normalised line), of the lines that count."""
-    cut = docs.select(*row_key(), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    cut = cut.withColumn("line", F.lower(F.trim("line"))).where(F.char_length("line") >= LEAST_CHARS)
-    return cut.withColumn("id", F.xxhash64("line"))
+def normal(line: str) -> str:
+    return line.strip(" ").lower()
+
+
+def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles, line after line, and where each line's begin."""
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    n = len(c) - SHINGLE + 1
+    h = np.zeros(n, np.uint64)
+    for i in range(SHINGLE):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += c[i : n + i]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    inside, ends = np.ones(len(c), bool), np.cumsum(sizes)
+    for i in range(1, SHINGLE):
+        inside[ends - i] = False
+    return (h >> np.uint64(32)).astype(np.uint32)[inside[:n]], np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """The minima, a row for each permutation and a column for each line."""
+    h, starts = shingle_hashes(lines)
+    out, moved = np.empty((RANK * BANDS, len(lines)), np.uint32), np.empty_like(h)
+    for k, a in enumerate(ODD):
+        np.multiply(h, np.uint32(a), out=moved)
+        np.minimum.reduceat(moved, starts, out=out[k])
+    return out
+
+
+def banded(minima: np.ndarray) -> np.ndarray:
+    """The buckets of each line, a row for each line."""
+    out = np.empty((minima.shape[1], BANDS), np.int64)
+    for b in range(BANDS):
+        h = np.full(minima.shape[1], b + 1, np.uint64)
+        for r in range(RANK):
+            h = (h ^ minima[b * RANK + r]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        out[:, b] = h.view(np.int64)
+    return out
+
+
+def two_bits(minima: np.ndarray) -> np.ndarray:
+    """Two bits of each minimum, 31 minima to a long."""
+    out = np.zeros((-(-len(minima) // 31), minima.shape[1]), np.int64)
+    for k, row in enumerate(minima):
+        out[k // 31] |= (row & 3).astype(np.int64) << (2 * (k % 31))
+    return out
 
 
-def shingled(found: DataFrame) -> DataFrame:
-    """lines() -> (id, one, s0 .. of WIDE ints): hashes of WIDE shingles that follow each other; every shingle of a line is in some row, one is 1 in its first row only."""
-    n = F.char_length("line") - (SHINGLE - 1)
-    # blocks keep the cost of substring() in proportion to the line; the last block and row reach back, so that each is full
-    at = F.least(F.col("k") * BLOCK, n - WIDE)
-    each = found.select("id", "line", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).alias("k"))
-    each = each.select("id", "k", F.substring("line", at + 1, F.lit(BLOCK + SHINGLE - 1)).alias("block"))
-    n = F.char_length("block") - (SHINGLE - 1)
-    at = F.least(F.col("j") * WIDE, n - WIDE)
-    each = each.select("id", "k", "block", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / WIDE).cast("int"))).alias("j"))
-    each = each.select("id", F.when((F.col("k") == 0) & (F.col("j") == 0), 1).otherwise(0).alias("one"), F.substring("block", at + 1, F.lit(WIDE + SHINGLE - 1)).alias("part"))
-    return each.select("id", "one", *[F.hash(F.substring("part", i + 1, SHINGLE)).alias(f"s{i}") for i in range(WIDE)])
+WORDS = -(-RANK * BANDS // 31)
+SIGNED = "doc_key long, text_hash long, line_no int, id long, more long, " + "".join(f"m{w} long, " for w in range(WORDS)) + "buckets array<bigint>"
 
 
-def buckets(found: DataFrame) -> DataFrame:
-    """lines() -> (bucket, id, n), a row for each band; n: how often the line occurs. Only ids and minima are shuffled, not lines."""
-    salts = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:4], "big", signed=True) for k in range(RANK * BANDS)]
-    hashes = [F.min(F.least(*[F.col(f"s{i}").bitwiseXOR(F.lit(c)) for i in range(WIDE)])).alias(f"h{k}") for k, c in enumerate(salts)]
-    signed = shingled(found).groupBy("id").agg(F.sum("one").alias("n"), *hashes)
-    bands = F.array(*[F.xxhash64(F.lit(b), *[f"h{b * RANK + r}" for r in range(RANK)]) for b in range(BANDS)])
-    return signed.select("id", "n", F.explode(bands).alias("bucket"))
+def sign(docs: DataFrame) -> DataFrame:
+    """A row for each line that counts: its document and number, identity (id, more), bits of its minima, buckets; stored."""
+    ship(docs.sparkSession)
+    names = [x.split()[0] for x in SIGNED.split(", ")]
 
+    def run(batches):
+        lines, keys, numbers = [], [], []
 
-def shingle_set(line: Column) -> Column:
-    """All shingles of SHINGLE characters; a line is at least LEAST_CHARS long."""
-    return F.array_distinct(F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+        def flush() -> pa.RecordBatch:
+            minima = signatures(lines)
+            digests = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+            ids = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
+            each = np.asarray(keys, np.int64)
+            columns = [each[:, 0], each[:, 1], np.asarray(numbers, np.int32), ids[:, 0], ids[:, 1], *two_bits(minima)]
+            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), lists_of(list(banded(minima)), pa.int64())], names)
+            for x in (lines, keys, numbers):
+                x.clear()
+            return out
 
+        held = 0
+        for batch in batches:
+            for key, text_hash, text in zip(*batch.columns, strict=True):
+                key = key.as_py(), text_hash.as_py()
+                for number, line in enumerate(text.as_py().split("\n")):
+                    if len(line := normal(line)) >= LEAST_CHARS:
+                        lines.append(line)
+                        keys.append(key)
+                        numbers.append(number)
+                        held += len(line)
+                        if held >= CHUNK:
+                            held = 0
+                            yield flush()
+        if lines:
+            yield flush()
 
-def sketches(ids: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, size, k0 .. of SKETCH longs) of the lines with these ids: how many shingles, and the parity of those of each bit."""
-    each = found.select("id", "line").join(ids, "id", "left_semi").distinct().select("id", F.explode(shingle_set(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    bit, word = F.expr("shiftleft(1L, cast(h & 63 as int))"), F.pmod(F.shiftrightunsigned("h", 6), F.lit(SKETCH))
-    return each.groupBy("id").agg(F.count("*").alias("size"), *[F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"k{w}") for w in range(SKETCH)])
+    return stored(docs.where("text is not null").select(*row_key(), "text").mapInArrow(run, SIGNED), "signed")
 
 
 def may_link() -> Column:
-    """Bound on pairs with size, k0 .. of either side: the symmetric difference has at least the bits in which the sketches differ."""
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"l.k{w}").bitwiseXOR(F.col(f"r.k{w}"))) for w in range(SKETCH)])
-    a, b = F.col("l.size"), F.col("r.size")
-    inter = F.floor((a + b - differ) / 2)
-    return (F.least(a, b) >= SIMILAR * F.greatest(a, b)) & (inter >= SIMILAR * (a + b - inter))
-
-
-def verified(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """pairs (a, b) of line ids -> stored pairs whose lines are similar; found: (id, line) of at least those lines."""
-    pairs = stored(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = stored(found.select("id", "line").join(ids, "id", "left_semi").distinct(), "texts")
-    met = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b").select("a", "b", shingle_set(F.col("line_a")).alias("set_a"), shingle_set(F.col("line_b")).alias("set_b"))
-    size_a, size_b, inter = F.size("set_a"), F.size("set_b"), F.size(F.array_intersect("set_a", "set_b"))
-    out = stored(met.where(inter >= SIMILAR * (size_a + size_b - inter)).select("a", "b"), "linked")
-    discard(pairs)
-    discard(texts)
+    """Bound on the places in which the bits of two signatures, l.m0 .. and r.m0 .., differ."""
+    places = F.lit(sum(1 << 2 * k for k in range(31)))
+    differ = [F.col(f"l.m{w}").bitwiseXOR(F.col(f"r.m{w}")) for w in range(WORDS)]
+    return reduce(Column.__add__, [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(places)) for x in differ]) <= DIFFER
+
+
+def shared_buckets(signed: DataFrame) -> DataFrame:
+    """(bucket, id, hub) of the buckets that several lines are in, stored; hub: the bucket's smallest line."""
+    rows = signed.select(F.explode("buckets").alias("bucket"), "id")
+    least = max(32, signed.count() // (64 * HOT))
+    some = signed.where(F.pmod(F.xxhash64(*KEY, "line_no"), F.lit(64)) == 0).select(F.explode("buckets").alias("bucket"))
+    hot = stored(some.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("bucket"), "hot")  # at most some BANDS x HOT rows
+    hubs = [F.min("id").alias("hub"), F.max("id").alias("last")]
+    cold = rows.join(F.broadcast(hot), "bucket", "left_anti").repartition("bucket")  # one exchange for all that follows
+    out = cold.join(cold.groupBy("bucket").agg(*hubs).where("hub < last").hint("shuffle_hash"), "bucket").select("bucket", "id", "hub").distinct()
+    if hot.take(1):
+        found = rows.join(F.broadcast(hot), "bucket")
+        met = stored(found.groupBy("bucket").agg(*hubs).where("hub < last").select("bucket", "hub"), "hubs")
+        out = out.union(found.join(F.broadcast(met), "bucket").select("bucket", "id", "hub").distinct())
+    return stored(out, "shared")
+
+
+def verified(pairs: DataFrame, bits: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """pairs (a, b) of ids -> stored pairs (u, v) of identities whose lines are similar."""
+    ship(docs.sparkSession)
+    each = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = bits.alias("l"), bits.alias("r")
+    met = each.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id")).where(may_link()).select("a", "b")
+    met = stored(met.distinct(), "pairs")
+    ids = small(stored(met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct(), "ids"))
+    # one place of each line, and from there its text
+    places = signed.select("id", "more", *KEY, "line_no").join(ids, "id", "left_semi").groupBy("id", "more").agg(F.min(F.struct(*KEY, "line_no")).alias("at")).select("id", "more", "at.*")
+    places = stored(places, "places")
+    found = docs.select(*row_key(), "text").join(small(places), KEY)
+    texts = stored(found.select("id", "more", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id", "more"]), "lines")
+    both = met.join(texts.toDF("a", "a_more", "a_line"), "a").join(texts.toDF("b", "b_more", "b_line"), "b").select("a", "a_more", "b", "b_more", "a_line", "b_line")
+
+    def run(batches):
+        def parts(line: str) -> set[str]:
+            line = normal(line)
+            return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+        for batch in batches:
+            keep, last = [], (None, set())
+            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                if b != last[0]:
+                    last = b, parts(b)
+                x, y = parts(a), last[1]
+                inter = len(x & y)
+                keep.append(inter >= SIMILAR * (len(x) + len(y) - inter))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], ["a", "a_more", "b", "b_more"])
+
+    linked = both.mapInArrow(run, "a long, a_more long, b long, b_more long")
+    out = stored(linked.select(F.struct(F.col("a").alias("id"), F.col("a_more").alias("more")).alias("u"), F.struct(F.col("b").alias("id"), F.col("b_more").alias("more")).alias("v")), "linked")
+    for x in (met, ids, places, texts):
+        discard(x)
     return out
 
 
-def find_duplicates(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_key, text_hash, removed (ascending numbers of the lines to remove), stored; only documents that lose lines."""
-    found = lines(docs)
-    keyed = stored(buckets(found), "buckets")
-    frequent = F.max_by("id", F.shiftleft(F.least("n", F.lit(1 << 20)), 42).bitwiseOR(F.col("id").bitwiseAND(F.lit((1 << 42) - 1))))
-    hubs = keyed.groupBy("bucket").agg(frequent.alias("hub"), F.count("*").alias("k")).where("k > 1").select("bucket", "hub")
-    keyed = stored(keyed.join(hubs, "bucket"), "shared")
-    linked = [verified(keyed.select(F.col("id").alias("a"), F.col("hub").alias("b")), found)]
-    comp = stored(components(linked[0]), "components")
+def line_components(signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, component) of the lines that are similar to others; identities are structs (id, more)."""
+    shared = shared_buckets(signed)
+    bits = stored(signed.select("id", *[f"m{w}" for w in range(WORDS)]).distinct(), "bits")
+    linked = [verified(shared.select(F.col("id").alias("a"), F.col("hub").alias("b")), bits, signed, docs)]
+    comp = components(linked[0])
 
     def still_open(rows: DataFrame) -> DataFrame:
         """(bucket, id, comp) of the buckets whose lines are in several components."""
-        now = rows.join(comp, rows["id"] == comp["node"], "left").select("bucket", "id", F.coalesce("component", "id").alias("comp"))
+        known = small(comp.select(F.col("node.id").alias("node"), F.col("component.id").alias("comp")))
+        now = rows.join(known, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"))
         several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         return stored(now.join(several, "bucket", "left_semi"), "open")
 
-    now = still_open(keyed.where("id != hub").select("bucket", "id"))
+    now = still_open(shared.where("id != hub").select("bucket", "id"))
     if now.take(1):
         # a second star, around a line that a hash picks
-        centre = now.groupBy("bucket").agg(F.min_by(F.struct("id", "comp"), F.xxhash64("id", "bucket")).alias("centre"))
-        pairs = now.join(centre, "bucket").where("comp != centre.comp").select(F.col("id").alias("a"), F.col("centre.id").alias("b"))
-        linked.append(verified(pairs, found))
-        discard(comp)
-        comp = stored(components(reduce(DataFrame.union, linked)), "components")
-        rows = now.join(centre, "bucket").where("id != centre.id").select("bucket", "id")
-        last = still_open(rows)
-        bits = stored(sketches(last.select("id").distinct(), found), "bits")
-        each = stored(last.join(bits, "id"), "sketched")
+        order = F.xxhash64("id", "bucket")
+        centre = now.groupBy("bucket").agg(F.min_by("id", order).alias("centre"), F.min_by("comp", order).alias("centre_comp"))
+        linked.append(verified(now.join(centre, "bucket").where("comp != centre_comp").select(F.col("id").alias("a"), F.col("centre").alias("b")), bits, signed, docs))
+        comp = components(reduce(DataFrame.union, linked))
+        last = still_open(now.join(centre, "bucket").where("id != centre").select("bucket", "id"))
+        each = last.join(bits, "id")
         left, right = each.alias("l"), each.alias("r")
         met = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & may_link())
         across = stored(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "across")
         if across.take(1):
-            linked.append(verified(across, found))
-            discard(comp)
-            comp = stored(components(reduce(DataFrame.union, linked)), "components")
-        for x in (last, bits, each, across):
+            linked.append(verified(across, bits, signed, docs))
+            comp = components(reduce(DataFrame.union, linked))
+        for x in (last, across):
             discard(x)
-    for x in (keyed, now):
+    for x in (now, shared, bits):
         discard(x)
-    places = stored(found.select(*KEY, "line_no", "id").join(comp, F.col("id") == F.col("node"), "left").select(*KEY, "line_no", F.coalesce("component", "id").alias("comp")), "places")
+    return comp
+
+
+def find_duplicates(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_key, text_hash, removed (ascending numbers of the lines to remove), stored; only documents that lose lines."""
+    signed = sign(docs)
+    comp = line_components(signed, docs)
+    known = small(stored(comp, "components"))
     place = F.struct(*KEY, "line_no")
-    first = places.groupBy("comp").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("comp", "first")
-    lost = places.join(first, "comp").where(place != F.col("first"))
-    return stored(lost.groupBy(*KEY).agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
+    own = F.struct("id", "more")
+    places = signed.select(*KEY, "line_no", own.alias("own")).join(known, F.col("own") == F.col("node"), "left")
+    places = stored(places.select(*KEY, "line_no", F.coalesce("component", "own").alias("class")).distinct(), "classes")
+    first = stored(places.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    hot = places.count() // HOT
+    often = first.where(F.col("n") > hot).select("class", "first")  # at most HOT rows
+    rest = places.join(F.broadcast(often.select("class")), "class", "left_anti").join(first.where(F.col("n") <= hot).select("class", "first"), "class")
+    lost = places.join(F.broadcast(often), "class").unionByName(rest).where(place != F.col("first"))
+    out = stored(lost.groupBy(*KEY).agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "removed")
+    for x in (signed, places, first):
+        discard(x)
+    return out
+
+
+def repeated_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs with `again`, false, but for rows that repeat doc_id and text; of those one has false."""
+    again = stored(docs.select(*row_key()).groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
+    if not again.take(1):
+        return keyed.withColumn("again", F.lit(False))
+    some = small(again)
+    # written once, so that the numbers hold
+    copies = stored(keyed.join(some, KEY, "left_semi").withColumn("number", F.monotonically_increasing_id()), "copies")
+    first = copies.groupBy(*KEY).agg(F.min(F.struct(F.xxhash64("row"), "number")).alias("first")).select(*KEY, F.col("first.number").alias("kept"))
+    marked = copies.join(first, KEY).select("row", *KEY, (F.col("number") != F.col("kept")).alias("again"))
+    return keyed.join(some, KEY, "left_anti").withColumn("again", F.lit(False)).unionByName(marked)
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with new texts and n_lines, n_removed, removed (numbers of the removed lines)."""
     removed = find_duplicates(docs)
     old = list(docs.columns)
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in old]).alias("row"), *row_key())
-    out = inner.join(removed, KEY, "left")
-    gone = F.coalesce("removed", F.array().cast("array<int>"))
+    out = repeated_rows(docs).join(small(removed, F.size("removed")), KEY, "left")
     whole = F.split("row.text", "\n")
-    text = F.when(F.size(gone) == 0, F.col("row.text")).otherwise(F.array_join(F.filter(whole, lambda _, i: ~F.array_contains(gone, i)), "\n"))
-    new = {"n_lines": F.coalesce(F.size(whole), F.lit(0)), "n_removed": F.size(gone), "removed": gone}
+    counted = F.filter(F.transform(whole, lambda x, i: F.when(F.char_length(F.lower(F.trim(x))) >= LEAST_CHARS, i)), lambda i: i.isNotNull())
+    none = F.array().cast("array<int>")
+    gone = F.when(F.col("again"), F.coalesce(counted, none)).otherwise(F.coalesce("removed", none))
+    out = out.select("row", gone.alias("gone"))
+    text = F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.array_join(F.filter(whole, lambda _, i: ~F.array_contains("gone", i)), "\n"))
+    new = {"n_lines": F.coalesce(F.size(whole), F.lit(0)).cast("long"), "n_removed": F.size("gone").cast("long"), "removed": F.col("gone")}
     kept = [text.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in old if c not in new]
-    return out.select(*kept, *[v.cast("long").alias(k) if k != "removed" else v.alias(k) for k, v in new.items()])
+    return out.select(*kept, *[v.alias(k) for k, v in new.items()])
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:

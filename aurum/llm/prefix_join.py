@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import components, discard, ship, stored, table
+from .common import Words, components, discard, lists_of, ship, stored, table, worker_cache
 
 HOT_TOKENS, HOT_FROM, BLOOM = 1_000_000, 64, 1 << 24
 #: Bits of the least and of the largest parity sketch.
@@ -38,15 +38,8 @@ LEAST_BITS, MOST_BITS = 64, 1 << 16
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-class Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = Words()
+def word_hashes() -> Words:
+    return worker_cache("prefix_join", lambda: Words(xxhash.xxh64_intdigest))
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -54,7 +47,7 @@ def shingles(text: str, size: int) -> np.ndarray:
     found = text.encode().lower().split()  # of bytes: A-Z and ASCII blanks only
     if not found:
         return np.zeros(0, np.int64)
-    h = np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(word_hashes().__getitem__, found), np.uint64, len(found))
     k = min(size, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     with np.errstate(over="ignore"):
@@ -68,10 +61,6 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def lists_of(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(np.concatenate(arrays) if arrays else [], kind))
-
-
 def signed(digest: int) -> tuple[int, int]:
     return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
 

@@ -9,10 +9,11 @@ the training texts' quantiles) and its metadata (bins of its length in character
 and its pairwise part is computed in time linear in the features by the sum-of-squares identity
 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
-It is fitted on the driver with numpy on at most `most` labelled rows, those with the lowest hashes of their doc_id:
-that bound is the only sampling here. Scoring reads every whole text.
+It is fitted on the driver with numpy on at most `most` labelled rows with at most MOST_BYTES of word slots, those with the
+lowest hashes of their doc_id: that bound is the only sampling here. Scoring reads every whole text.
 
-Defined cases: a null text is an empty one and gets a score of its own like any other; null labels are left out; where a
+Defined cases: a null text is an empty one and gets a score of its own like any other; a null doc_id has held_out null and is
+never fitted on; of rows that repeat a doc_id the one with the least hash of its text is fitted on; null labels are left out; where a
 doc_id has several labels the largest counts; with no labelled rows, or one class only, every score is the smoothed share
 of label 1; other columns are ignored.
 """
@@ -26,9 +27,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ship, table
+from .common import Words, discard, ship, stored, table, worker_cache
 
 SLOTS, FACTORS, BINS, MOST = 1 << 15, 8, 12, 12_000
+#: Bytes of word slots that the driver collects for fitting at most, and slots that are scored at a time.
+MOST_BYTES, CHUNK = 64 << 20, 65_536
 STATISTICS = ("chars", "words", "lines", "word_length", "upper", "digit", "punctuation", "symbol", "space", "other", "distinct_words", "distinct_lines", "top_word", "no_letter_words", "shouted_words", "line_length", "end_stops", "bars", "pairs_repeated")
 FEATURES = SLOTS + len(STATISTICS) * BINS
 
@@ -41,17 +44,9 @@ _kind[[ord(c) for c in ".,;:'\"?-()"]] = 5
 _kind[[ord(c) for c in "!#$%&*+/<=>@[\\]^_`{|}~"]] = 6
 
 
-class Slots(dict):
-    """Word -> hashed slot, kept while the vocabulary is small enough."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = slot = xxhash.xxh32_intdigest(word) % SLOTS
-        return slot
-
-
-_slots = Slots()
+def word_slots() -> Words:
+    """Word -> hashed slot."""
+    return worker_cache("quality", lambda: Words(lambda word: xxhash.xxh32_intdigest(word) % SLOTS))
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,7 +57,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = np.bincount(_kind[np.frombuffer(raw, np.uint8)], minlength=7) / n
     m = max(1, len(words))
     if words:
-        mapped = np.fromiter(map(_slots.__getitem__, words), np.int64, len(words))
+        mapped = np.fromiter(map(word_slots().__getitem__, words), np.int64, len(words))
         slots, counts = np.unique(mapped, return_counts=True)
         values = 1 + np.log(counts)
         values = values / math.sqrt(float(values @ values))
@@ -93,11 +88,17 @@ class Machine:
         own = binned(stats, self.edges)
         return np.concatenate([slots, own]), np.concatenate([values, np.full(len(own), 1 / math.sqrt(len(own)))])
 
-    def score(self, text: str) -> float:
-        i, x = self.rows(features(text))
+    def scores(self, found: list) -> np.ndarray:
+        """Of documents' features, all documents side by side."""
+        rows = list(map(self.rows, found))
+        i, x = (np.concatenate(c) for c in zip(*rows, strict=True))
+        starts = np.cumsum([0, *(len(r[0]) for r in rows[:-1])])
         v = self.factors[i] * x[:, None]
-        z = self.bias + float(self.linear[i] @ x) + 0.5 * float((v.sum(axis=0) ** 2 - (v**2).sum(axis=0)).sum())
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        z = self.bias + np.add.reduceat(self.linear[i] * x, starts) + 0.5 * (np.add.reduceat(v, starts) ** 2 - np.add.reduceat(v**2, starts)).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+    def score(self, text: str) -> float:
+        return float(self.scores([features(text)])[0])
 
 
 def fit(found: list, labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.03, decay: float = 1e-5, seed: int = 7) -> Machine:
@@ -148,17 +149,24 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Machine:
     known = labels.where("quality is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded, so it can be broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    # of rows that repeat a doc_id the one with the least hash of its text counts, so that the bound holds
+    rows = rows.groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for batch in batches:
             got = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(2), "slots": [f[0].astype("<i4").tobytes() for f in got], "word_values": [f[1].astype("<f4").tobytes() for f in got], "stats": [f[2].tobytes() for f in got]})
 
-    got = rows.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(run, "doc_id long, quality int, slots binary, word_values binary, stats binary")
-    # repeated rows of a document could exceed the bound; one is as good as another
-    got = sorted(got.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
-    found = [(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["word_values"], "<f4").astype(float), np.frombuffer(r["stats"])) for r in got]
-    return fit(found, np.asarray([float(r["quality"] > 0) for r in got]))
+    got = stored(rows.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, slots binary, word_values binary, stats binary"), "features")
+    sizes = got.select("doc_id", F.length("slots").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most `most` pairs of numbers
+    fits = np.cumsum([r["n"] for r in sizes]) <= MOST_BYTES
+    kept = {r["doc_id"] for r, f in zip(sizes, fits, strict=True) if f}
+    if len(kept) < len(sizes):
+        got = got.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in sorted(kept)], "doc_id long")), "doc_id", "left_semi")
+    found = sorted(got.collect(), key=lambda r: r["doc_id"])
+    discard(got) if len(kept) == len(sizes) else None
+    arrays = [(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["word_values"], "<f4").astype(float), np.frombuffer(r["stats"])) for r in found]
+    return fit(arrays, np.asarray([float(r["quality"] > 0) for r in found]))
 
 
 def scored(docs: DataFrame, model: Machine) -> DataFrame:
@@ -166,10 +174,18 @@ def scored(docs: DataFrame, model: Machine) -> DataFrame:
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.edges, model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        mine = Machine(*shared.value)
-        return texts.map(mine.score)
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        mine, out, found, held = Machine(*shared.value), [], [], 0
+        for text in texts:
+            found.append(features(text.as_py()))
+            held += len(found[-1][0])
+            if held >= CHUNK:
+                out.append(mine.scores(found))
+                found, held = [], 0
+        if found:
+            out.append(mine.scores(found))
+        return pa.array(np.concatenate(out) if out else [], pa.float64())
 
     return docs.withColumn("quality_score", score(F.coalesce("text", F.lit(""))))
 
