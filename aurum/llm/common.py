@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes, about, that an operator may keep in a Python worker.
 CACHE_BYTES = 96 << 20
-#: A stored table of at most so many rows (or items in a list column) may be broadcast (some tens of MB); larger ones are shuffled.
-BROADCAST_ROWS = 200_000
+#: A stored table of at most so many short rows may be broadcast, and one of at most so many rows and items of its list
+#: column together: 40 MB at the most. Larger ones are shuffled.
+BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 1_000_000
+#: Links that one task may join up.
+LOCAL_LINKS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -101,15 +104,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing needs it."""
-    spark, path = df.sparkSession, df._aurum_path
+    spark, path = df.sparkSession, df.__dict__.get("_aurum_path")
+    if path is None:
+        return
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def small(df: DataFrame, weight: Column | None = None) -> DataFrame:
     """Marks a stored table of narrow rows for broadcasting if it is within the bound; weight: the items of a row."""
-    n = df.count() if weight is None else df.agg(F.sum(weight + 1)).first()[0] or 0
-    if n > BROADCAST_ROWS:
+    n, most = (df.count(), BROADCAST_ROWS) if weight is None else (df.agg(F.sum(weight + 1)).first()[0] or 0, BROADCAST_ITEMS)
+    if n > most:
         return df
     out = F.broadcast(df)
     out._aurum_path = df.__dict__.get("_aurum_path")
@@ -125,20 +130,77 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index of each vertex's component."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        least = np.minimum(low[a], low[b])
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        # the ends' own labels, too, so that whole components move at once
+        np.minimum.at(new, low[a], least)
+        np.minimum.at(new, low[b], least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+def components_here(batches):
+    """Arrow batches of links (u, v) -> (node, component), for a list of links that one task can hold."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    links = pa.Table.from_batches(held).combine_chunks()
+    kind, names = links.schema.field("u").type, None
+    sides = []
+    for c in ("u", "v"):
+        column = links.column(c).combine_chunks()
+        if pa.types.is_struct(kind):
+            names = [f.name for f in kind]
+            sides.append([np.asarray(x) for x in column.flatten()])
+        else:
+            sides.append([np.asarray(column)])
+    fields = [np.concatenate(x) for x in zip(*sides, strict=True)]
+    order = np.lexsort(fields[::-1])
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = np.any([f[order][1:] != f[order][:-1] for f in fields], axis=0)
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(fresh) - 1
+    nodes = [f[order][fresh] for f in fields]
+    half = len(code) // 2
+    low = forest(len(nodes[0]), code[:half], code[half:])
+
+    def column(values: list[np.ndarray]) -> pa.Array:
+        arrays = [pa.array(x) for x in values]
+        return pa.StructArray.from_arrays(arrays, names) if names else arrays[0]
+
+    yield pa.RecordBatch.from_arrays([column(nodes), column([x[low] for x in nodes])], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Distributed union-find by alternating large-star and small-star rounds.
 
-    edges: two columns of longs (or of structs), in any order, repeats and self-links allowed. Returns (node, component), component
-    being the smallest node reachable; only nodes with a link to another node appear. Every round is written to the
-    shared folder, so that a lost executor costs one round at most and plans stay short.
-    """
+    edges: two columns of longs (or of structs of longs), in any order, repeats and self-links allowed. Returns (node,
+    component), component being the smallest node reachable; only nodes with a link to another node appear. Every round is
+    written to the shared folder, so that a lost executor costs one round at most and plans stay short. A list of at most
+    LOCAL_LINKS links, some 30 MB, is one task's work instead; the result is the same."""
     a, b = (F.col(c) for c in edges.columns)
     links = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(), "links")
+    if links.count() <= LOCAL_LINKS:
+        ship(edges.sparkSession)
+        kind = links.schema["u"].dataType.simpleString()
+        out = stored(links.coalesce(1).mapInArrow(components_here, f"node {kind}, component {kind}"), "components")
+        discard(links)
+        return out
     seen = None
     while True:
         mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if mark == seen or mark["n"] == 0:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        if mark == seen:
+            out = links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out._aurum_path = links._aurum_path
+            return out
         seen = mark
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

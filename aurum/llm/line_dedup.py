@@ -7,8 +7,8 @@
 3. Banding: lines that agree in all hashes of a band share a bucket (99 % of pairs of similarity 0.80, more above). A
    bucket's lines are first paired with its smallest line, those of buckets that still are in several components with a line
    that a hash picks, then, across components, with each other. A pair goes on to verification if two bits of each minimum
-   differ in at most DIFFER places: at similarity 0.8 a place differs with probability 0.15, so that 25 or more of 60 differ
-   in about one pair of a million.
+   differ in at most DIFFER places: at similarity 0.8 a place differs with probability 0.15, so that 21 or more of 60 differ
+   in about one pair of ten thousand.
 4. Verification: exact Jaccard similarity, at least 0.8, of the sets of all shingles of SHINGLE characters.
 5. Distributed union-find joins verified pairs; of each component the first line (by doc_id, then line number) stays.
 
@@ -33,11 +33,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, discard, lists_of, ship, small, stored, table
+from .common import components, discard, ship, small, stored, table
 
-LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS, DIFFER = 20, 5, 0.8, 5, 12, 24
-#: Characters that are signed at a time, and the part of all rows of a table that makes a key hot.
-CHUNK, HOT = 64_000, 2_000
+LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS, DIFFER = 20, 5, 0.8, 5, 12, 20
+#: Characters that are signed at a time, lines of a batch, and the part of all rows of a table that makes a key hot.
+CHUNK, LINES, HOT = 64_000, 4_096, 2_000
+#: Rows of a partition whose buckets a Python worker sorts: some 50 MB.
+PART_ROWS = 1 << 21
 ODD = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:4], "big") | 1 for k in range(RANK * BANDS)]
 KEY = ["doc_key", "text_hash"]
 
@@ -52,19 +54,20 @@ def normal(line: str) -> str:
 
 def shingle_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of all shingles, line after line, and where each line's begin."""
-    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    c = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     sizes = np.fromiter(map(len, lines), np.int64, len(lines))
     n = len(c) - SHINGLE + 1
-    h = np.zeros(n, np.uint64)
-    for i in range(SHINGLE):
-        h *= np.uint64(0x9E3779B97F4A7C15)
-        h += c[i : n + i]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    inside, ends = np.ones(len(c), bool), np.cumsum(sizes)
+    h = c[:n].copy()
     for i in range(1, SHINGLE):
-        inside[ends - i] = False
-    return (h >> np.uint64(32)).astype(np.uint32)[inside[:n]], np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
+        h *= np.uint32(0x9E3779B1)
+        h += c[i : n + i]
+    for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(odd)
+    ends = np.cumsum(sizes)
+    # those that reach over a line's end go
+    h = np.delete(h, (ends[:-1, None] - np.arange(1, SHINGLE)).ravel())
+    return h, np.concatenate([[0], np.cumsum(sizes - SHINGLE + 1)[:-1]])
 
 
 def signatures(lines: list[str]) -> np.ndarray:
@@ -98,7 +101,7 @@ def two_bits(minima: np.ndarray) -> np.ndarray:
 
 
 WORDS = -(-RANK * BANDS // 31)
-SIGNED = "doc_key long, text_hash long, line_no int, id long, more long, " + "".join(f"m{w} long, " for w in range(WORDS)) + "buckets array<bigint>"
+SIGNED = "doc_key long, text_hash long, line_no int, first boolean, id long, more long, " + "".join(f"m{w} long, " for w in range(WORDS)) + "buckets array<bigint>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -107,34 +110,52 @@ def sign(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in SIGNED.split(", ")]
 
     def run(batches):
-        lines, keys, numbers = [], [], []
-
-        def flush() -> pa.RecordBatch:
-            minima = signatures(lines)
-            digests = b"".join([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
-            ids = np.frombuffer(digests, ">i8").astype(np.int64).reshape(-1, 2)
-            each = np.asarray(keys, np.int64)
-            columns = [each[:, 0], each[:, 1], np.asarray(numbers, np.int32), ids[:, 0], ids[:, 1], *two_bits(minima)]
-            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), lists_of(list(banded(minima)), pa.int64())], names)
-            for x in (lines, keys, numbers):
+        lines, numbers, firsts, keys, counts, held = [], [], [], [], [], 0
+        minima, digests, waiting = [], [], 0
+
+        def taken() -> int:
+            """Signs what is held; how many lines wait for their batch."""
+            minima.append(signatures(lines))
+            digests.extend([xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in lines])
+            lines.clear()
+            return len(numbers)
+
+        def batch_of() -> pa.RecordBatch:
+            all_ = np.concatenate(minima, axis=1)
+            ids = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            each = np.repeat(np.asarray(keys, np.int64).reshape(-1, 2), counts, axis=0)
+            columns = [each[:, 0], each[:, 1], np.asarray(numbers, np.int32), np.asarray(firsts), ids[:, 0], ids[:, 1], *two_bits(all_)]
+            offsets = np.arange(0, BANDS * len(numbers) + 1, BANDS, dtype=np.int32)
+            buckets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(banded(all_).ravel()))
+            out = pa.RecordBatch.from_arrays([*map(pa.array, columns), buckets], names)
+            for x in (numbers, firsts, keys, counts, minima, digests):
                 x.clear()
             return out
 
-        held = 0
         for batch in batches:
-            for key, text_hash, text in zip(*batch.columns, strict=True):
-                key = key.as_py(), text_hash.as_py()
+            for key, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                before, first = len(numbers), True
                 for number, line in enumerate(text.as_py().split("\n")):
                     if len(line := normal(line)) >= LEAST_CHARS:
                         lines.append(line)
-                        keys.append(key)
                         numbers.append(number)
+                        firsts.append(first)
+                        first = False
                         held += len(line)
                         if held >= CHUNK:
                             held = 0
-                            yield flush()
+                            if taken() >= LINES:
+                                keys.append((key, text_hash))
+                                counts.append(len(numbers) - before)
+                                yield batch_of()
+                                before = 0
+                if len(numbers) > before:
+                    keys.append((key, text_hash))
+                    counts.append(len(numbers) - before)
         if lines:
-            yield flush()
+            taken()
+        if numbers:
+            yield batch_of()
 
     return stored(docs.where("text is not null").select(*row_key(), "text").mapInArrow(run, SIGNED), "signed")
 
@@ -146,22 +167,109 @@ def may_link() -> Column:
     return reduce(Column.__add__, [F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(places)) for x in differ]) <= DIFFER
 
 
+def shared(batches):
+    """Arrow batches (bucket, id) of whole buckets -> (bucket, id, hub) of the buckets with several ids, each id once."""
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if not parts:
+        return
+    bucket, ident = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    order = np.lexsort((ident, bucket))
+    bucket, ident = bucket[order], ident[order]
+    fresh = np.ones(len(bucket), bool)
+    fresh[1:] = (bucket[1:] != bucket[:-1]) | (ident[1:] != ident[:-1])
+    bucket, ident = bucket[fresh], ident[fresh]
+    starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(bucket)))
+    several = np.repeat(sizes > 1, sizes)
+    yield pa.RecordBatch.from_arrays([pa.array(x[several]) for x in (bucket, ident, np.repeat(ident[starts], sizes))], ["bucket", "id", "hub"])
+
+
 def shared_buckets(signed: DataFrame) -> DataFrame:
     """(bucket, id, hub) of the buckets that several lines are in, stored; hub: the bucket's smallest line."""
+    ship(signed.sparkSession)
     rows = signed.select(F.explode("buckets").alias("bucket"), "id")
-    least = max(32, signed.count() // (64 * HOT))
+    n = signed.count()
+    least = max(32, n // (64 * HOT))
     some = signed.where(F.pmod(F.xxhash64(*KEY, "line_no"), F.lit(64)) == 0).select(F.explode("buckets").alias("bucket"))
     hot = stored(some.groupBy("bucket").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("bucket"), "hot")  # at most some BANDS x HOT rows
-    hubs = [F.min("id").alias("hub"), F.max("id").alias("last")]
-    cold = rows.join(F.broadcast(hot), "bucket", "left_anti").repartition("bucket")  # one exchange for all that follows
-    out = cold.join(cold.groupBy("bucket").agg(*hubs).where("hub < last").hint("shuffle_hash"), "bucket").select("bucket", "id", "hub").distinct()
+    parts = max(int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * BANDS // PART_ROWS))
+    cold = rows.join(F.broadcast(hot), "bucket", "left_anti").repartition(parts, "bucket")
+    out = cold.mapInArrow(shared, "bucket long, id long, hub long")
     if hot.take(1):
-        found = rows.join(F.broadcast(hot), "bucket")
-        met = stored(found.groupBy("bucket").agg(*hubs).where("hub < last").select("bucket", "hub"), "hubs")
-        out = out.union(found.join(F.broadcast(met), "bucket").select("bucket", "id", "hub").distinct())
+        # each line once, before anything is shuffled
+        found = stored(rows.join(F.broadcast(hot), "bucket", "left_semi").distinct(), "hot_lines")
+        hubs = stored(found.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub"), "hubs")
+        out = out.union(found.join(F.broadcast(hubs), "bucket").select("bucket", "id", "hub"))
     return stored(out, "shared")
 
 
+def shingle_codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+    """All shingles of all lines as numbers, equal for equal shingles and for no others; the line of each; bits of a number."""
+    text = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    seen = np.zeros(int(text.max()) + 1, bool)
+    seen[text] = True
+    bits = int(seen.sum()).bit_length()
+    codes = (np.cumsum(seen) - 1)[text]
+    ends = np.cumsum(sizes)
+    n, outside = len(codes) - SHINGLE + 1, (ends[:-1, None] - np.arange(1, SHINGLE)).ravel()
+    line = np.repeat(np.arange(len(lines)), sizes - SHINGLE + 1)
+    packed, width = codes[:n].astype(np.int64), bits
+    for i in range(1, SHINGLE):
+        if width + bits > 62:  # too many letters for one number: what there is so far is numbered anew
+            packed, width = np.unique(packed, return_inverse=True)[1], int(n).bit_length()
+        packed, width = packed << bits | codes[i : n + i], width + bits
+    if width > 44:  # room for the number of a line
+        packed, width = np.unique(packed, return_inverse=True)[1], int(n).bit_length()
+    return np.delete(packed, outside), line, width
+
+
+def shared_shingles(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of lines the sizes of both sets of shingles and of what they share."""
+    at = {x: k for k, x in enumerate(dict.fromkeys([*a, *b]))}
+    codes, line, bits = shingle_codes(list(at))
+    each = np.sort(line << bits | codes)  # the sets, line after line
+    each = each[np.append(True, each[1:] != each[:-1])]
+    owner = each >> bits
+    starts = np.searchsorted(owner, np.arange(len(at) + 1))
+    sizes = np.diff(starts)
+    x, y = (np.fromiter(map(at.__getitem__, side), np.int64, len(side)) for side in (a, b))
+    # both sets of each pair, marked with the pair: what comes twice is shared
+    which = np.concatenate([x, y])
+    pair = np.repeat(np.concatenate([np.arange(len(x))] * 2), sizes[which])
+    place = np.arange(len(pair)) - np.repeat(np.cumsum(sizes[which]) - sizes[which], sizes[which]) + np.repeat(starts[which], sizes[which])
+    both = np.sort(pair << bits | each[place] & (1 << bits) - 1)
+    twice = both[1:][both[1:] == both[:-1]] >> bits
+    return sizes[x], sizes[y], np.bincount(twice, minlength=len(x))
+
+
+def similar(pairs):
+    """Arrow batches (a, a_more, b, b_more, a_line, b_line) -> the first four columns of similar pairs."""
+    for batch in pairs:
+        a, b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+        keep, k = np.zeros(batch.num_rows, bool), 0
+        while k < len(a):
+            stop, held = k, 0
+            while stop < len(a) and held < CHUNK and stop - k < 4096:
+                held += len(a[stop]) + len(b[stop])
+                stop += 1
+            n, m, inter = shared_shingles(a[k:stop], b[k:stop])
+            keep[k:stop] = inter >= SIMILAR * (n + m - inter)
+            k = stop
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:4]], ["a", "a_more", "b", "b_more"])
+
+
+def wanted_lines(docs):
+    """Arrow batches (text, lines: list of (line_no, id, more)) -> id, more, line (normalised)."""
+    for batch in docs:
+        out = []
+        for text, lines in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            split = text.as_py().split("\n")
+            out += [(x["id"], x["more"], normal(split[x["line_no"]])) for x in lines]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "more", "line"])
+
+
 def verified(pairs: DataFrame, bits: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b) of ids -> stored pairs (u, v) of identities whose lines are similar."""
     ship(docs.sparkSession)
@@ -172,27 +280,12 @@ def verified(pairs: DataFrame, bits: DataFrame, signed: DataFrame, docs: DataFra
     ids = small(stored(met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct(), "ids"))
     # one place of each line, and from there its text
     places = signed.select("id", "more", *KEY, "line_no").join(ids, "id", "left_semi").groupBy("id", "more").agg(F.min(F.struct(*KEY, "line_no")).alias("at")).select("id", "more", "at.*")
+    places = places.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "id", "more")).alias("lines"))  # a document bounds its lines
     places = stored(places, "places")
-    found = docs.select(*row_key(), "text").join(small(places), KEY)
-    texts = stored(found.select("id", "more", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["id", "more"]), "lines")
+    found = docs.select(*row_key(), "text").join(small(places, F.size("lines")), KEY).select("text", "lines")
+    texts = stored(found.mapInArrow(wanted_lines, "id long, more long, line string").dropDuplicates(["id", "more"]), "lines")
     both = met.join(texts.toDF("a", "a_more", "a_line"), "a").join(texts.toDF("b", "b_more", "b_line"), "b").select("a", "a_more", "b", "b_more", "a_line", "b_line")
-
-    def run(batches):
-        def parts(line: str) -> set[str]:
-            line = normal(line)
-            return {line[i : i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
-
-        for batch in batches:
-            keep, last = [], (None, set())
-            for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                if b != last[0]:
-                    last = b, parts(b)
-                x, y = parts(a), last[1]
-                inter = len(x & y)
-                keep.append(inter >= SIMILAR * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:4]], ["a", "a_more", "b", "b_more"])
-
-    linked = both.mapInArrow(run, "a long, a_more long, b long, b_more long")
+    linked = both.mapInArrow(similar, "a long, a_more long, b long, b_more long")
     out = stored(linked.select(F.struct(F.col("a").alias("id"), F.col("a_more").alias("more")).alias("u"), F.struct(F.col("b").alias("id"), F.col("b_more").alias("more")).alias("v")), "linked")
     for x in (met, ids, places, texts):
         discard(x)
@@ -201,9 +294,9 @@ def verified(pairs: DataFrame, bits: DataFrame, signed: DataFrame, docs: DataFra
 
 def line_components(signed: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, component) of the lines that are similar to others; identities are structs (id, more)."""
-    shared = shared_buckets(signed)
+    met = shared_buckets(signed)
     bits = stored(signed.select("id", *[f"m{w}" for w in range(WORDS)]).distinct(), "bits")
-    linked = [verified(shared.select(F.col("id").alias("a"), F.col("hub").alias("b")), bits, signed, docs)]
+    linked = [verified(met.select(F.col("id").alias("a"), F.col("hub").alias("b")), bits, signed, docs)]
     comp = components(linked[0])
 
     def still_open(rows: DataFrame) -> DataFrame:
@@ -213,51 +306,61 @@ def line_components(signed: DataFrame, docs: DataFrame) -> DataFrame:
         several = now.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
         return stored(now.join(several, "bucket", "left_semi"), "open")
 
-    now = still_open(shared.where("id != hub").select("bucket", "id"))
+    now = still_open(met.where("id != hub").select("bucket", "id"))
     if now.take(1):
         # a second star, around a line that a hash picks
         order = F.xxhash64("id", "bucket")
         centre = now.groupBy("bucket").agg(F.min_by("id", order).alias("centre"), F.min_by("comp", order).alias("centre_comp"))
         linked.append(verified(now.join(centre, "bucket").where("comp != centre_comp").select(F.col("id").alias("a"), F.col("centre").alias("b")), bits, signed, docs))
+        discard(comp)
         comp = components(reduce(DataFrame.union, linked))
         last = still_open(now.join(centre, "bucket").where("id != centre").select("bucket", "id"))
         each = last.join(bits, "id")
         left, right = each.alias("l"), each.alias("r")
-        met = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & may_link())
-        across = stored(met.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "across")
+        pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & may_link())
+        across = stored(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "across")
         if across.take(1):
             linked.append(verified(across, bits, signed, docs))
+            discard(comp)
             comp = components(reduce(DataFrame.union, linked))
         for x in (last, across):
             discard(x)
-    for x in (now, shared, bits):
+    for x in (now, met, bits, *linked):
         discard(x)
     return comp
 
 
-def find_duplicates(docs: DataFrame) -> DataFrame:
+def find_duplicates(docs: DataFrame, signed: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_key, text_hash, removed (ascending numbers of the lines to remove), stored; only documents that lose lines."""
-    signed = sign(docs)
+    signed = sign(docs) if signed is None else signed
     comp = line_components(signed, docs)
-    known = small(stored(comp, "components"))
-    place = F.struct(*KEY, "line_no")
-    own = F.struct("id", "more")
-    places = signed.select(*KEY, "line_no", own.alias("own")).join(known, F.col("own") == F.col("node"), "left")
-    places = stored(places.select(*KEY, "line_no", F.coalesce("component", "own").alias("class")).distinct(), "classes")
-    first = stored(places.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
-    hot = places.count() // HOT
-    often = first.where(F.col("n") > hot).select("class", "first")  # at most HOT rows
-    rest = places.join(F.broadcast(often.select("class")), "class", "left_anti").join(first.where(F.col("n") <= hot).select("class", "first"), "class")
-    lost = places.join(F.broadcast(often), "class").unionByName(rest).where(place != F.col("first"))
-    out = stored(lost.groupBy(*KEY).agg(F.array_sort(F.collect_list("line_no")).alias("removed")), "removed")
-    for x in (signed, places, first):
+    known = small(stored(comp.select("node.*", F.col("component.id").alias("c_id"), F.col("component.more").alias("c_more")), "components"))
+    places = signed.select(*KEY, "line_no", "id", "more").join(known, ["id", "more"], "left")
+    group = ["class_id", "class_more"]
+    places = places.select(*KEY, "line_no", F.coalesce("c_id", "id").alias("class_id"), F.coalesce("c_more", "more").alias("class_more"))
+    # classes of several places; rows that repeat doc_id and text have the same places, which do no harm
+    several = stored(places.groupBy(*group).agg(F.count("*").alias("n"), F.min("doc_key").alias("least")).where("n > 1"), "several")
+    hot = signed.count() // HOT
+    often = several.where(F.col("n") > hot).drop("n")  # at most HOT rows
+    rest = places.join(F.broadcast(often), group, "left_anti").join(several.where(F.col("n") <= hot).drop("n"), group)
+    copies = stored(places.join(F.broadcast(often), group).unionByName(rest), "copies")
+    # the first place: in the least document, by the hash of its text and the number of the line
+    place = F.struct("text_hash", "line_no")
+    first = copies.where(F.col("doc_key") == F.col("least")).groupBy(*group).agg(F.min(place).alias("first"))
+    first = stored(first, "first")
+    later = [F.col("doc_key") != F.col("least"), place != F.col("first")]
+    mine = copies.where(~later[0])
+    lost = copies.where(later[0]).select(*KEY, "line_no").unionByName(mine.join(small(first), group).where(later[1]).select(*KEY, "line_no"))
+    out = stored(lost.groupBy(*KEY).agg(F.array_sort(F.collect_set("line_no")).alias("removed")), "removed")
+    for x in (several, copies, first, known, comp):
         discard(x)
     return out
 
 
-def repeated_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """docs with `again`, false, but for rows that repeat doc_id and text; of those one has false."""
-    again = stored(docs.select(*row_key()).groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated")
+def repeated_rows(docs: DataFrame, signed: DataFrame) -> DataFrame:
+    """docs as (row, doc_key, text_hash, again); again is true for rows that repeat doc_id and text of another one with lines
+    that count, but for one of them."""
+    again = stored(signed.where("first").groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
     if not again.take(1):
         return keyed.withColumn("again", F.lit(False))
@@ -271,9 +374,10 @@ def repeated_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with new texts and n_lines, n_removed, removed (numbers of the removed lines)."""
-    removed = find_duplicates(docs)
+    signed = sign(docs)
+    removed = find_duplicates(docs, signed)
     old = list(docs.columns)
-    out = repeated_rows(docs).join(small(removed, F.size("removed")), KEY, "left")
+    out = repeated_rows(docs, signed).join(small(removed, F.size("removed")), KEY, "left")
     whole = F.split("row.text", "\n")
     counted = F.filter(F.transform(whole, lambda x, i: F.when(F.char_length(F.lower(F.trim(x))) >= LEAST_CHARS, i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")

@@ -8,10 +8,15 @@ File layout (all integers little-endian), one file for each range of doc_id:
     trailer: u64 index offset | u64 documents | u64 ids | magic
 
 Every block starts at a stored offset, so any slice of ids is read by fetching and unpacking only its blocks.
+
+Defined cases: an empty table gives no files and an empty result; a null text is an empty one, which has the end id alone; a
+null doc_id comes first; rows that repeat a doc_id are each written, in the order of the hashes of their texts; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -22,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import new_path, ship, stored, table
+from .common import CACHE_BYTES, new_path, ship, stored, table, worker_cache
 
 MAGIC, VERSION, BLOCK = b"AUTK", 1, 1 << 15
 HEAD, TAIL = struct.Struct("<4sHHI"), struct.Struct("<QQQ4s")
@@ -136,6 +141,19 @@ PLAIN = re.compile(r"[\x00-\x1b\x20-\xff]*")
 WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
 
 
+#: The steps of the vocabulary that the short way does itself.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+}
+
+
+def short_way(model: dict) -> bool:
+    """Whether a tokenizer's own steps are those that Encoder does: lower case, then words that never merge."""
+    first = ((model.get("pre_tokenizer") or {}).get("pretokenizers") or [None])[0]
+    return model.get("normalizer") == STEPS["normalizer"] and first == STEPS["split"]
+
+
 class Encoder(dict):
     """The tokenizers library, asked once for each word.
 
@@ -144,12 +162,14 @@ class Encoder(dict):
     go to the library whole.
     """
 
-    MOST = 600_000
+    MOST = CACHE_BYTES // 256
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(model)
+        # the short way cuts words as this vocabulary's own steps do; any other vocabulary goes to the library whole
+        self.short = short_way(json.loads(model))
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
@@ -164,21 +184,14 @@ class Encoder(dict):
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text) or self.special and self.special.search(text):
+        if not self.short or not PLAIN.fullmatch(text) or self.special and self.special.search(text):
             return self.whole(text)
         return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
 
 
-_encoders: dict[int, Encoder] = {}
-
-
 def encoder(model: str) -> Encoder:
     """One for each Python worker; its cache of words outlives a task."""
-    key = zlib.crc32(model.encode())
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(model)
-    return _encoders[key]
+    return worker_cache(("token_pack", zlib.crc32(model.encode())), lambda: Encoder(model))
 
 
 def write_tokens(docs: DataFrame, model: str, end_id: int, path: str, vocabulary: int) -> DataFrame:

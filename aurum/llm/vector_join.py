@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, ship, stored, table
+from .common import components, forest, ship, stored, table
 
 SAMPLE, PIVOTS, COPIES, BLOCK = 4_096, 1_024, 4.0, 2_048
 
@@ -77,20 +77,6 @@ def block_links(x: np.ndarray, y: np.ndarray, same: bool, least: float) -> tuple
     return np.nonzero(near)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index of each vertex's component."""
-    low = np.arange(n)
-    while True:
-        new = low.copy()
-        least = np.minimum(low[a], low[b])
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def cosine_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept for each row."""
     spark, radius = vectors.sparkSession, float(np.sqrt(2 - 2 * least))

@@ -47,12 +47,16 @@ def components_of(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [0, common.LOCAL_LINKS])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_LINKS", local)
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + rng.randrange(1, 50)) for _ in range(60)] + [(7, 7), (300, 301), (301, 300)]
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = components_of({x for p in links for x in p}, links)
     assert got == want
+    pairs = spark.createDataFrame([((1, 2), (1, 1)), ((1, 2), (0, 9)), ((5, 5), (5, 5)), ((7, 1), (7, 0))], "a struct<x:long,y:long>, b struct<x:long,y:long>")
+    assert {tuple(r["node"]): tuple(r["component"]) for r in common.components(pairs).collect()} == {(1, 2): (0, 9), (1, 1): (0, 9), (0, 9): (0, 9), (7, 1): (7, 0), (7, 0): (7, 0)}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -176,11 +180,22 @@ def test_line_dedup(spark):
     assert line_dedup.remove_lines(docs.where("false")).count() == 0
 
 
+def test_prefix_join_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(21)
+    a, b = prose(rng, 80, 900), prose(rng, 80, 900)
+    docs = spark.createDataFrame([(5, a), (5, b), (3, b + " tail"), (5, a), (None, a), (None, None)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in prefix_join.linked_components(docs).collect())
+    assert got == [(0, 0), (0, 0), (3, 3), (5, 3), (5, 5), (5, 5)]
+
+
 def test_line_dedup_repeated_rows(spark):
     line = "this line is long enough to count here"
     docs = spark.createDataFrame([(1, line), (1, line), (2, line.upper()), (None, "  " + line), (None, None)], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["n_removed"]) for r in line_dedup.remove_lines(docs).collect())
     assert got == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1)]
+    twice = spark.createDataFrame([(3, line, "a"), (3, line, "a"), (3, line, "b"), (4, "other " + line[::-1], "c")], "doc_id long, text string, source string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in line_dedup.remove_lines(twice).collect())
+    assert got == [(3, 0), (3, 1), (3, 1), (4, 0)], "of rows that repeat one document one keeps the line"
 
 
 def found_pairs(spark, pairs):

@@ -24,3 +24,23 @@ def test_pipeline(spark, tmp_path):
     assert not kept & {90, 91, 92}, "the copy, the near copy and the contaminated document go"
     assert 93 in kept and len(kept & set(range(60, 90))) <= 2
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_stages_with_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and ids, clashing columns, empty tables: each stage gives its columns."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(n)) + "."
+    text, other = prose(60), prose(60)
+    rows = [(1, text), (1, text), (1, other), (2, text), (None, prose(40)), (None, None), (3, None), (4, ""), (5, " \n\n "), (6, "x" * 30000), (7, other + "\n" + prose(30))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, component_id string, text_hash string, n_removed string, again string"
+    docs = spark.createDataFrame([(k, t, None, None, None, "c", "c", "c", "c") for k, t in rows], schema)
+    spark.createDataFrame([(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, prose(30)), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == corpus_pipeline.COLUMNS, name
+        kept = got.collect()
+        assert sum(r["doc_id"] is None for r in kept) == 2 and {3, 4} <= {r["doc_id"] for r in kept}, name
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0, name
+    kept = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).where("doc_id < 3").collect())
+    assert kept == sorted([(1, text), (1, other)]), "one of the equal rows, and the other text of the same id"
