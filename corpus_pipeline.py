@@ -1,7 +1,8 @@
 """The corpus pipeline: quality classifier, line dedup, n-gram Jaccard join, benchmark decontamination, encoding.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
-documents. A stage that changes texts brings n_chars up to date.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the five columns of
+documents, and no others that docs may have. A stage that changes texts brings n_chars up to date. Rows with a null text or a
+null doc_id go through all stages like any other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from aurum.llm.common import new_path, table
 from aurum.llm.decontaminate import contamination, row_key
 from aurum.llm.line_dedup import remove_lines
 from aurum.llm.pieces import encode_decode, model_bytes
-from aurum.llm.prefix_join import linked_components
+from aurum.llm.prefix_join import linked_rows
 from aurum.llm.quality import scored, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,9 +33,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays; documents without a doc_id stay."""
-    found = linked_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Shingles of five words, similarity 0.8. Of each component one document stays, the one with the smallest doc_id; of
+    rows that repeat its doc_id and text, one. Documents without words or doc_id stay."""
+    found = linked_rows(docs, 5, 80).where("n > 0 and doc_id is not null").select("doc_id", "text_hash", "component_id", "component")
+    same = F.col("doc_id") == F.col("component_id")
+    # where several texts of a component have the smallest doc_id, the one with the least hash stays
+    head = found.where(same).groupBy("component").agg(F.min("text_hash").alias("least"))
+    other = found.where(same).join(head, "component").where(F.col("text_hash") != F.col("least"))
+    gone = found.where(~same).select("doc_id", "text_hash").union(other.select("doc_id", "text_hash")).distinct()
+    rows = docs.select(*COLUMNS, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).join(gone, ["doc_id", "text_hash"], "left_anti")
+    again = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("k")).where("k > 1").select("doc_id", "text_hash")
+    if not again.take(1):
+        return rows.select(*COLUMNS)
+    one = rows.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return rows.join(again, ["doc_id", "text_hash"], "left_anti").unionByName(one).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
