@@ -6,11 +6,11 @@ labels two sources of golden entities, customer entities with alternate keys, or
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .operators import history as H, merge as M, query as Q, resolve as R, rules as U, writes as X
+from .operators import history as H, lifecycle as L, merge as M, predicates as C, query as Q, references as P, resolve as R, rules as U, writes as X
 from .plans.expression import evaluate
 from .sources.files import data_table
 
@@ -62,10 +62,12 @@ def entities_where_page(spark, d):
     return Q.entities_where(read(spark, d, "orders"), "x.o_orderstatus = :status AND x.o_totalprice > :least", "x.o_orderkey, x.o_totalprice, x.o_orderstatus", "x.o_totalprice", 100, None, {"status": "O", "least": 1000}, "o_orderkey")
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders WHERE (o_totalprice, o_orderkey) > (50000.0, 0) ORDER BY o_totalprice, o_orderkey LIMIT 100")
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 97 <> 0 THEN o_totalprice END AS price, coalesce(o_orderstatus, 'x') AS status FROM orders ORDER BY price NULLS FIRST, o_orderkey LIMIT 200 OFFSET 10")
 def entities_next_page(spark, d):
-    token = Q.next_token({"o_totalprice": 50000.0, "o_orderkey": 0}, "o_totalprice", "o_orderkey")
-    return Q.entities_where(read(spark, d, "orders"), None, "o_orderkey, o_totalprice", "o_totalprice", 100, token, None, "o_orderkey")
+    """The page behind a row whose sort key is null, over a key that some rows lack."""
+    rows = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 97 != 0, F.col("o_totalprice")).alias("price"), "o_orderstatus")
+    last = Q.entities_where(rows, None, None, "price", 10, None, None, "o_orderkey").select("o_orderkey", "price").tail(1)[0].asDict()
+    return Q.entities_where(rows, None, "o_orderkey, price, coalesce(o_orderstatus, 'x') AS status", "price", 200, Q.next_token(last, "price", "o_orderkey"), None, "o_orderkey")
 
 
 @query("SELECT event_id, ts, user_id FROM events WHERE ts >= (SELECT min(ts) + INTERVAL 1 DAY FROM events)")
@@ -83,7 +85,7 @@ def entities_by_id(spark, d):
 
 @query("SELECT count(*) AS total FROM customer WHERE lower(c_mktsegment) = 'building'")
 def entities_total_count(spark, d):
-    return read(spark, d, "customer").where(F.lower("c_mktsegment") == "building").agg(F.count("*").alias("total"))
+    return Q.total_count(read(spark, d, "customer"), "lower(x.c_mktsegment) = :segment", {"segment": "building"})
 
 
 @query(f'SELECT c_custkey, k.Key AS "Key", k.Value AS "Value" FROM ({KEYS_SQL})')
@@ -116,10 +118,18 @@ def trace_correlated(spark, d):
     return got.select(F.col("OperationId").alias("l_orderkey"), "l_linenumber", F.col("CorrelationId").cast("long").alias("l_partkey"), "l_returnflag")
 
 
-@query("""SELECT id, depth, ordinal FROM (VALUES ('a', 0, 1), ('b', 1, 2), ('d', 2, 3), ('c', 1, 4), ('x', 0, 5)) t(id, depth, ordinal)""")
+@query("""WITH t AS (SELECT 'r' || r_regionkey AS id, 0 AS depth, r_regionkey AS a, -1 AS b, -1 AS c FROM region
+ UNION ALL SELECT 'n' || n_nationkey, 1, n_regionkey, n_nationkey, -1 FROM nation
+ UNION ALL SELECT 's' || s_suppkey, 2, n_regionkey, n_nationkey, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey
+ UNION ALL SELECT 'o' || c_custkey, 0, 1000000, c_custkey, -1 FROM customer WHERE c_custkey < 20)
+ SELECT id, depth, row_number() OVER (ORDER BY a, b, c) AS ordinal FROM t""")
 def trace_span_tree(spark, d):
-    spans = spark.createDataFrame([("c", "a", 2, "load"), ("a", None, 0, "root"), ("b", "a", 1, "Read"), ("d", "b", 1, "parse"), ("x", "gone", 0, "orphan")], "id string, parent string, start int, name string")
-    return Q.span_tree(spans).select("id", "depth", "ordinal")
+    """Regions are roots, nations their children, suppliers theirs; a few customers are spans without a parent."""
+    region = read(spark, d, "region").selectExpr("concat('r', r_regionkey) AS id", "CAST(NULL AS STRING) AS parent", "CAST(r_regionkey AS BIGINT) AS start", "r_name AS name")
+    nation = read(spark, d, "nation").selectExpr("concat('n', n_nationkey) AS id", "concat('r', n_regionkey) AS parent", "CAST(n_nationkey AS BIGINT) AS start", "n_name AS name")
+    supplier = read(spark, d, "supplier").selectExpr("concat('s', s_suppkey) AS id", "concat('n', s_nationkey) AS parent", "CAST(s_suppkey AS BIGINT) AS start", "s_name AS name")
+    orphan = read(spark, d, "customer").where("c_custkey < 20").selectExpr("concat('o', c_custkey) AS id", "'gone' AS parent", "CAST(c_custkey AS BIGINT) AS start", "c_name AS name")
+    return Q.span_tree(region.union(nation).union(supplier).union(orphan)).select("id", "depth", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 @query("SELECT DISTINCT source AS \"DataSource\", lang AS \"EntityType\" FROM documents WHERE trim(source) <> '' AND trim(lang) <> ''")
@@ -177,8 +187,7 @@ def promise_status(spark, d):
 @query("""SELECT a.doc_id, CASE WHEN arg_max(b.doc_id % 7 = 0, b.doc_id) THEN NULL ELSE max(b.doc_id) END AS match FROM documents a JOIN documents b ON lower(a.text) = lower(b.text) AND a.lang = b.lang GROUP BY 1""")
 def duplicate_match(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", "lang")
-    pairs = R.candidates(docs, docs, [("text", True), ("lang", False)]).select(F.col("incoming.doc_id").alias("doc_id"), F.col("existing.doc_id").alias("candidate"), (F.col("existing.doc_id") % 7 == 0).alias("has_key"))
-    return R.best_match(pairs, "doc_id", "candidate", "candidate", "has_key")
+    return R.block_match(docs, docs, [("text", True), ("lang", False)], "doc_id", "doc_id", "doc_id", F.col("best.doc_id") % 7 == 0)
 
 
 @query("""SELECT event_id, CASE WHEN value > 50 THEN 'RejectMerge' WHEN event_type = 'error' THEN 'SilentlyReject' WHEN user_id % 2 = 0 THEN 'AllowMerge' END AS action FROM events""")
@@ -197,11 +206,14 @@ def merge_rule_select(spark, d):
     return U.select_merge_rules(events, rules, ["event_id"])
 
 
-@query("""SELECT * FROM (VALUES ('Venue.EntityId','Venue.EntityId'), ('Venue.Address.City.Name','Venue.Address'), ('Venue.Other.Deep.Value','Venue'), ('vEnUe.aDdReSs.City','Venue.Address'), ('Venue','Venue'), ('VenueOther.EntityId','*'), ('Other.Venue.EntityId','*'), ('Venue.AddressOther.City','Venue'), ('Description','*')) t(path, rule)""")
+@query("""SELECT p_partkey, CASE WHEN lower(p_brand) = 'brand#13' AND p_type = 'SMALL' THEN 'ITEM.brand#13.small' WHEN lower(p_brand) = 'brand#13' THEN 'Item.Brand#13' WHEN p_size % 2 = 0 THEN 'Item' ELSE '*' END AS rule FROM part""")
 def property_rule_resolve(spark, d):
-    rules = spark.createDataFrame([(0, "*", "a"), (1, "Venue", "b"), (2, "Venue.Address", "c"), (3, "Venue.EntityId", "d"), (4, "venue", "e")], "idx int, name string, action string")
-    paths = ["Venue.EntityId", "Venue.Address.City.Name", "Venue.Other.Deep.Value", "vEnUe.aDdReSs.City", "Venue", "VenueOther.EntityId", "Other.Venue.EntityId", "Venue.AddressOther.City", "Description"]
-    return U.resolve_property_rules(spark.createDataFrame([(p,) for p in paths], "path string"), rules)
+    """Paths of brand, type and a leaf below an item, or below something else where the size is odd."""
+    rules = spark.createDataFrame([(0, "*", "a"), (1, "Item", "b"), (2, "Item.Brand#13", "c"), (3, "ITEM.brand#13.small", "d"), (4, "item", "e"), (5, "Other.Brand#13.SMALL", "f"), (6, "Other.Brand#13", "g")], "idx int, name string, action string")
+    top = F.when((F.col("p_size") % 2 == 0) | (F.lower("p_brand") == "brand#13"), "iTem").otherwise("Itemised")
+    parts = read(spark, d, "part").select("p_partkey", F.concat_ws(".", top, "p_brand", "p_type", F.lit("Weight")).alias("path"))
+    found = U.resolve_property_rules(parts.select("path").distinct(), rules)
+    return parts.join(found, "path").select("p_partkey", "rule")
 
 
 @query("""SELECT event_id, action, CASE action WHEN 'AlwaysOverwrite' THEN true WHEN 'OverwriteIfNewer' THEN NOT (user_id % 10 > event_id % 10) WHEN 'OverwriteIfEmpty' THEN user_id % 3 = 0 WHEN 'OverwriteIfNotEmpty' THEN true WHEN 'NeverOverwrite' THEN false WHEN 'DoNotUpdate' THEN false ELSE true END AS applies
@@ -214,7 +226,7 @@ def property_actions(spark, d):
 
 
 @query("""SELECT d.doc_id, d.lang, CASE WHEN l.doc_id IS NULL THEN d.n_chars ELSE coalesce(l.quality, d.n_chars) END AS n_chars, coalesce(d.source, CAST(l.toxic AS VARCHAR)) AS source,
- CASE WHEN l.doc_id IS NULL THEN 'Entity Created' ELSE 'Merged Into Existing Entity' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
+ CASE WHEN l.doc_id IS NULL THEN 'New Entity Created' ELSE 'Entity Matched And Updated' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def first_time_merge(spark, d):
     target = read(spark, d, "documents").select("doc_id", "lang", "n_chars", "source")
     source = read(spark, d, "labels").select("doc_id", F.lit("xx").alias("lang"), F.col("quality").cast("long").alias("n_chars"), F.col("toxic").cast("string").alias("source"))
@@ -364,7 +376,7 @@ def entity_document(spark, d):
     return read(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "o_orderstatus", text.alias("lines"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS \"EntityId\", CASE WHEN n = 1 THEN 'Entity Created' ELSE 'Entity Updated' END AS outcome FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
+@query("SELECT CAST(user_id AS VARCHAR) AS \"EntityId\", CASE WHEN n = 1 THEN 'New Entity Created' ELSE 'Entity Matched And Updated' END AS outcome FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)")
 def merge_batch(spark, d):
     """The tracked fold: each event is a version of its user with a counter that always changes."""
     at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -394,7 +406,7 @@ def stream_windowed_counts(spark, d):
     events = read(spark, d, "events")
     folder = f"{scratch(spark)}/in"
     events.write.parquet(folder)
-    return windowed_counts(spark, folder, events.schema, "ts", "event_type", "1 day", "1 hour")
+    return windowed_counts(spark, folder, events.schema, "ts", "event_type", "1 day", "1 hour", f"{scratch(spark)}/windows")
 
 
 @query("""SELECT user_id, count(*) AS sessions FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before IS NULL OR ts - before >= INTERVAL 1 HOUR GROUP BY 1""")
@@ -403,10 +415,186 @@ def session_counts(spark, d):
     return rows.groupBy("user_id", F.session_window("at", "1 hour")).agg(F.count("*").alias("n")).groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
+VERSIONS = """v AS (SELECT user_id, event_id, ts, event_type, event_id % 2 AS src, event_id % 3 AS x FROM events)"""
+
+
+def versions(events: DataFrame, data: list[Column], source: Column) -> DataFrame:
+    """Events as merge requests of their user, from a data source."""
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    body = F.to_json(F.struct(*data, at.alias("createdOn"), at.alias("lastUpdated")))
+    return events.select(F.col("user_id").cast("string").alias("EntityId"), F.lit("User").alias("EntityType"), source.alias("DataSource"), F.lit("Visitor").alias("SourceEntityType"), F.col("user_id").cast("string").alias("SourceEntityId"), "ts", F.col("event_id").alias("ord"), body.alias("Data"))
+
+
+@query(f"""WITH {VERSIONS}, c AS (SELECT *, lag(x) OVER w AS px, row_number() OVER w AS n FROM v WINDOW w AS (PARTITION BY user_id, src ORDER BY ts, event_id))
+ SELECT CAST(user_id AS VARCHAR) AS "EntityId", arg_max(x, (ts, event_id)) AS x, count(*) AS said FROM c WHERE n = 1 OR x <> px GROUP BY 1""")
+def merge_two_sources(spark, d):
+    """Two sources change one property of the same entities in turn, in two batches: a change counts only if it differs from
+    what its own source said before, also in the batch before. said: entries that the sources' histories end up with."""
+    events = read(spark, d, "events")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    cut = F.lit(lo + (hi - lo) / 2)
+    source = F.when(F.col("event_id") % 2 == 0, "Web").otherwise("App")
+    requests = versions(events, [(F.col("event_id") % 3).alias("x")], source)
+    rules, now = [{"name": "*", "action": "AlwaysOverwrite"}], datetime(2030, 1, 1)
+    base = scratch(spark)
+    M.merge_batch(requests.where(F.col("ts") < cut), spark.createDataFrame([], "EntityId string, doc string"), rules, now).write.parquet(f"{base}/first")
+    first = spark.read.parquet(f"{base}/first")
+    stored = first.where("kind = 'entity'").select("EntityId", F.col("payload").alias("doc"))
+    said = first.where("kind = 'source'").select("EntityId", "payload")
+    fields = ("DataSource", "SourceEntityType", "SourceEntityId", "EntryType", "Timestamp", "id", "Data")
+    entry = F.to_json(F.struct(*[F.get_json_object("payload", f"$.{c}").alias(c) for c in fields], F.get_json_object("payload", "$._ts").cast("long").alias("_ts")))
+    M.merge_batch(requests.where(F.col("ts") >= cut), stored, rules, now, history=said.select("EntityId", entry.alias("entry"))).write.parquet(f"{base}/second")
+    second = spark.read.parquet(f"{base}/second")
+    golden = X.upsert(stored, second.where("kind = 'entity'").select("EntityId", F.col("payload").alias("doc")), ["EntityId"])
+    entries = said.unionByName(second.where("kind = 'source'").select("EntityId", "payload")).groupBy("EntityId").agg(F.count("*").alias("said"))
+    return golden.join(entries, "EntityId").select("EntityId", F.get_json_object("doc", "$.x").cast("long").alias("x"), "said")
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS "EntityId", CASE WHEN n = 1 THEN 'New Entity Created' WHEN event_type = 'error' THEN 'Merge Rejected' WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'Merge Silently Rejected' ELSE 'Entity Matched And Updated' END AS outcome
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)""")
+def merge_contexts(spark, d):
+    """Pre-merge rules by context inside the fold: errors are rejected, even clicks silently, but only of existing entities."""
+    requests = versions(read(spark, d, "events"), [F.col("event_id").alias("Counter"), (F.col("event_id") % 2).alias("Odd"), F.col("event_type").alias("Kind")], F.lit("Web"))
+    kind = lambda k: {"property": "incoming.Kind", "operator": "eq", "value": k}
+    before = [
+        {"context": "ExistingEntityPreMerge", "predicate": kind("error"), "action": "RejectMerge"},
+        {"data_source": "WEB", "context": "ExistingEntityPreMerge", "predicate": {"and": [kind("click"), {"property": "incoming.Odd", "operator": "eq", "value": 0}]}, "action": "SilentlyRejectMerge"},
+        {"data_source": "Other", "predicate": None, "action": "RejectMerge"},
+    ]
+    rules = U.Rules([{"data_source": "Other", "properties": [{"name": "*", "action": "NeverOverwrite"}]}, {"context": "MergeUpdatedEntity", "properties": [{"name": "*", "action": "AlwaysOverwrite"}]}], before)
+    got = M.merge_batch(requests, spark.createDataFrame([], "EntityId string, doc string"), rules, datetime(2030, 1, 1))
+    return got.where("kind = 'result'").select("EntityId", F.get_json_object("payload", "$.Outcome").alias("outcome"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS "EntityId", arg_min(event_id, (ts, event_id)) AS counter, arg_min(event_type, (ts, event_id)) AS fixed, arg_max(event_id, (ts, event_id)) AS note FROM events GROUP BY 1""")
+def untracked_merge(spark, d):
+    """Without history: the entity was written now, so no event is newer and Counter stays; Fixed is never overwritten."""
+    requests = versions(read(spark, d, "events"), [F.col("event_id").alias("Counter"), F.col("event_type").alias("Fixed"), F.col("event_id").alias("Note")], F.lit("Web"))
+    rules = [{"name": "Counter", "action": "OverwriteIfNewer"}, {"name": "Fixed", "action": "NeverOverwrite"}, {"name": "Note", "action": "OverwriteIfEmpty"}]
+    got = M.merge_batch(requests, spark.createDataFrame([], "EntityId string, doc string"), rules, datetime(2030, 1, 1, tzinfo=timezone.utc), tracked=False).where("kind = 'entity'")
+    return got.select("EntityId", F.get_json_object("payload", "$.Counter").cast("long").alias("counter"), F.get_json_object("payload", "$.Fixed").alias("fixed"), F.get_json_object("payload", "$.Note").cast("long").alias("note"))
+
+
+KEY_TYPE = "array<struct<Key:string,Value:string>>"
+
+
+def referring(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with a reference to their nation, and nations as entities: nation 3 is not there, nation 5 is there twice."""
+    tag = F.struct(F.lit("ExternalEntityReference").alias("@Tag"), F.lit("Nation").alias("EntityType"), F.lit("Geo").alias("DataSource"), F.lit("Country").alias("SourceEntityType"), F.col("c_nationkey").cast("string").alias("EntityId"))
+    doc = F.when(F.col("c_custkey") % 5 == 0, F.to_json(F.struct("c_name"))).otherwise(F.to_json(F.struct(F.struct(F.array(tag).alias("Places")).alias("Home"))))
+    people = read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("id"), F.lit("Person").alias("entityType"), F.array().cast(KEY_TYPE).alias("alternateKeys"), doc.alias("doc"))
+    nation = read(spark, d, "nation").where("n_nationkey != 3")
+    keys = F.array(F.struct(F.lit("geo.country").alias("Key"), F.col("n_nationkey").cast("string").alias("Value")))
+    lands = lambda rows, letter: rows.select(F.concat(F.lit(letter), "n_nationkey").alias("id"), F.lit("Nation").alias("entityType"), keys.alias("alternateKeys"), F.lit("{}").alias("doc"))
+    return people.unionByName(lands(nation, "n")).unionByName(lands(nation.where("n_nationkey = 5"), "m"))
+
+
+@query("""SELECT 'c' || c_custkey AS id, CASE WHEN c_nationkey IN (3, 5) THEN NULL ELSE 'n' || c_nationkey END AS target, CASE WHEN c_nationkey = 3 THEN 'promised' WHEN c_nationkey = 5 THEN 'failed' ELSE 'resolved' END AS state FROM customer WHERE c_custkey % 5 <> 0""")
+def external_references(spark, d):
+    entities = referring(spark, d)
+    changed, promises, failures = P.resolve_documents(entities, entities)
+    none = F.lit(None).cast("string").alias("target")
+    done = changed.select("id", F.get_json_object("doc", "$.Home.Places[0].EntityId").alias("target"), F.lit("resolved").alias("state"))
+    return done.unionByName(promises.select(F.col("owner").alias("id"), none, F.lit("promised").alias("state"))).unionByName(failures.select(F.col("owner").alias("id"), none, F.lit("failed").alias("state")))
+
+
+@query("""WITH s AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN 'Stale' WHEN c_custkey % 4 = 0 THEN 'Unresolved' WHEN c_nationkey = 3 THEN 'Unresolved' WHEN c_nationkey = 5 THEN 'Failed' ELSE 'Resolved' END AS status FROM customer UNION ALL SELECT 'Stale' FROM nation)
+ SELECT count(*) FILTER (WHERE status = 'Resolved') AS "Resolved", count(*) FILTER (WHERE status = 'Unresolved') AS "Unresolved", count(*) FILTER (WHERE status = 'Stale') AS "Stale", count(*) FILTER (WHERE status = 'Failed') AS "Failed" FROM s""")
+def promise_settlement(spark, d):
+    """A promise of each customer (every fourth at a path where the reference no longer is) and some of owners that are gone."""
+    path = F.when(F.col("c_custkey") % 4 == 0, "Work").otherwise("Home.Places[0]")
+    named = lambda owner, path, ref: [F.concat(F.lit("p-"), owner).alias("promise"), owner.alias("owner"), F.lit("Person").alias("ownerType"), path.alias("path"), F.lit("Nation").alias("EntityType"), F.lit("GEO").alias("DataSource"), F.lit("country").alias("SourceEntityType"), ref.cast("string").alias("RefId")]
+    mine = read(spark, d, "customer").select(*named(F.concat(F.lit("c"), "c_custkey"), path, F.col("c_nationkey")))
+    gone = read(spark, d, "nation").select(*named(F.concat(F.lit("gone"), "n_nationkey"), F.lit("Home"), F.col("n_nationkey")))
+    return P.rollup(P.settle(mine.unionByName(gone), referring(spark, d))[0])
+
+
+def change_log(events: DataFrame) -> DataFrame:
+    """A source history of each user: an Init before the first event, then an Update for each."""
+    inits = events.groupBy("user_id").agg(F.min("ts").alias("Timestamp")).select("user_id", F.col("Timestamp") - F.expr("interval 1 second"), F.lit("Init").alias("EntryType"), F.lit('{"last":-1}').alias("Data"), F.lit(0).cast("long").alias("_ts"), F.concat(F.lit("i"), "user_id").alias("id")).toDF("user_id", "Timestamp", "EntryType", "Data", "_ts", "id")
+    updates = events.select("user_id", F.col("ts").alias("Timestamp"), F.lit("Update").alias("EntryType"), F.concat(F.lit('{"last":[0,'), "event_id", F.lit("]}")).alias("Data"), (F.col("event_id") + 1).alias("_ts"), F.concat(F.lit("u"), "event_id").alias("id"))
+    return inits.unionByName(updates).select(F.lit("Web").alias("DataSource"), F.lit("Visitor").alias("EntityType"), F.col("user_id").cast("string").alias("EntityId"), "id", "EntryType", F.col("Timestamp").cast("timestamp").alias("Timestamp"), "_ts", "Data")
+
+
+@query("""WITH e AS (SELECT *, (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS cut FROM events)
+ SELECT CAST(user_id AS VARCHAR) AS "EntityId", CASE WHEN user_id % 2 = 0 AND count(*) FILTER (WHERE ts <= cut) > 0 THEN arg_max(event_id, (ts, event_id)) FILTER (WHERE ts <= cut) END AS baseline,
+ CASE WHEN user_id % 2 = 0 AND count(*) FILTER (WHERE ts <= cut) > 0 THEN count(*) FILTER (WHERE ts > cut) ELSE count(*) + 1 END AS kept FROM e GROUP BY user_id""")
+def rebase_source(spark, d):
+    """Histories of every second user compacted up to the middle of the time; asked for in another case than stored."""
+    events = read(spark, d, "events")
+    lo, hi = events.agg(F.min("ts"), F.max("ts")).first()
+    log = change_log(events)
+    wanted = events.where("user_id % 2 = 0").select(F.lit("WEB").alias("DataSource"), F.lit("visitor").alias("EntityType"), F.col("user_id").cast("string").alias("EntityId")).distinct()
+    new, _ = L.rebase_sources(log, wanted, (lo + (hi - lo) / 2).replace(tzinfo=timezone.utc))
+    base = F.max(F.when(F.col("action") == "baseline", F.get_json_object("Data", "$.last").cast("long")))
+    return new.groupBy("EntityId").agg(base.alias("baseline"), F.count_if(F.col("action") == "keep").alias("kept"))
+
+
+@query("""SELECT CAST(0 AS BIGINT) AS n, 'Init' AS kind, CAST(NULL AS BIGINT) AS last UNION ALL SELECT row_number() OVER (ORDER BY ts, event_id), 'Update', event_id FROM events WHERE user_id = 7""")
+def split_history(spark, d):
+    """The history of user 7 again for a split-off copy, in replay order with new ids."""
+    log = change_log(read(spark, d, "events"))
+    got = L.split_history(log, "7", "7b", {"Key": "web.visitor", "Value": "7"})
+    data = F.when(F.col("EntryType") == "Update", F.get_json_object("Data", "$.last[1]").cast("long"))
+    order = W.partitionBy("EntityId").orderBy("Timestamp", F.when(F.col("_ts") == 0, F.lit(2**63 - 1)).otherwise(F.col("_ts")))
+    return got.where("EntityId = '7b' AND length(id) = 64").select((F.row_number().over(order) - 1).cast("long").alias("n"), F.col("EntryType").alias("kind"), data.alias("last"))
+
+
+@query("""SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id IN (3, 5, 8, 13) AND ts >= (SELECT min(ts) + INTERVAL 2 DAY FROM events) AND ts <= (SELECT min(ts) + INTERVAL 20 DAY FROM events) AND value > 5 ORDER BY ts, event_id LIMIT 100""")
+def tracking_where(spark, d):
+    events = read(spark, d, "events")
+    first = events.agg(F.min("ts")).first()[0]
+    log = events.select(F.col("event_id").alias("id"), F.col("event_type").alias("DataSource"), F.lit("User").alias("EntityType"), F.col("user_id").cast("string").alias("EntityId"), F.col("ts").alias("Timestamp"), "value")
+    rows = L.tracking(log, "click", "User", first + timedelta(days=2), first + timedelta(days=20), ["3", "5", "8", "13"])
+    return Q.entities_where(rows, "x.value > :least", "x.id AS event_id, CAST(x.EntityId AS BIGINT) AS user_id", "Timestamp", 100, None, {"least": 5})
+
+
+@query("SELECT lang, source, min(doc_id) AS doc_id, arg_min(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1, 2")
+def distinct_first(spark, d):
+    return L.distinct_first(read(spark, d, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], "doc_id")
+
+
+@query("""WITH s AS (SELECT 'Doc|' || source || '|' || doc_id AS s, doc_id, lang, n_chars FROM documents), f AS (SELECT lang, n_chars, arg_min(s, doc_id) AS first FROM s GROUP BY 1, 2)
+ SELECT s.s AS source, substr(sha256(first), 1, 32) AS match FROM s JOIN f USING (lang, n_chars) WHERE s.s <> first""")
+def in_batch_duplicates(spark, d):
+    """New sources that agree in language and length join the first of them, in a batch that no entity is stored for."""
+    docs = read(spark, d, "documents")
+    source = F.concat_ws("|", F.lit("Doc"), "source", F.col("doc_id").cast("string"))
+    new = docs.select(source.alias("source"), F.concat_ws(".", "source", F.col("doc_id").cast("string")).alias("Key"), F.substring(F.sha2(source, 256), 1, 32).alias("fresh"), F.lit(0).alias("ts"), F.col("doc_id").alias("ord"), F.lit("Doc").alias("EntityType"), F.to_json(F.struct("lang", "n_chars")).alias("Data"))
+    return R.match_sources(new, spark.createDataFrame([], f"id string, entityType string, createdOn timestamp, alternateKeys {KEY_TYPE}, doc string"), ["lang", "n_chars"])
+
+
+@query(f"""SELECT c_custkey, k.Key AS "Key", k.Value AS "Value", CASE WHEN k.Key = 'crm.customer' AND c_custkey % 3 = 0 THEN 'failed' END AS "Error" FROM ({KEYS_SQL}) UNION ALL SELECT c_custkey, 'web.customer', CAST(c_custkey AS VARCHAR), NULL FROM customer WHERE c_custkey % 6 = 0""")
+def sync_events(spark, d):
+    rows = customers(spark, d).select(F.col("c_custkey").alias("id"), "alternateKeys")
+    event = lambda key, at, error: [F.col("c_custkey").alias("id"), F.lit(key).alias("Key"), F.col("c_custkey").cast("string").alias("Value"), F.lit(at).alias("synced"), F.lit(error).cast("string").alias("error")]
+    c = read(spark, d, "customer").where("c_custkey % 3 = 0")
+    events = c.select(*event("crm.customer", 1, None)).unionByName(c.select(*event("crm.customer", 2, "failed"))).unionByName(c.where("c_custkey % 6 = 0").select(*event("web.customer", 1, None)))
+    got = L.record_sync(rows, events)
+    return got.select(F.col("id").alias("c_custkey"), F.explode("alternateKeys").alias("k")).select("c_custkey", "k.Key", "k.Value", "k.Error")
+
+
+@query("""SELECT p_partkey, p_partkey % 3 = 0 AS success, CASE p_partkey % 3 WHEN 1 THEN 'bad' WHEN 2 THEN 'Not processed' END AS error FROM part""")
+def item_results(spark, d):
+    part = read(spark, d, "part").select("p_partkey")
+    return L.item_results(part, part.where("p_partkey % 3 = 0"), part.where("p_partkey % 3 = 1").withColumn("error", F.lit("bad")), ["p_partkey"])
+
+
+@query("""SELECT c_custkey FROM customer WHERE lower(c_mktsegment) IN ('building', 'machinery') AND c_nationkey IN (1, 2, 3, 4) AND c_name <> 'Customer#000000003' AND c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 2)""")
+def predicate_builders(spark, d):
+    rows = read(spark, d, "customer").select("c_custkey", "c_nationkey", F.to_json(F.struct(F.col("c_name").alias("Name"), F.struct("c_mktsegment", "c_nationkey").alias("Home"))).alias("doc"))
+    rows = rows.where(C.path_in("Home.c_mktsegment", ["Building", "MACHINERY", None]) & C.path_in("Home.c_nationkey", [1, 2, 3, 4]) & ~C.name_equals("CUSTOMER#000000003") & ~C.path_in("Name", [None]))
+    return C.in_values(rows, "c_nationkey", read(spark, d, "nation").where("n_regionkey <= 2").select("n_nationkey"), text=False).select("c_custkey")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder where all executors can write: below spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="aurum-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="aurum-")
     return f"{base.rstrip('/')}/aurum-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"

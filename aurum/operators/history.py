@@ -7,6 +7,7 @@ strict fold for each entity.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import datetime
 
@@ -70,18 +71,31 @@ def replay_documents(log: DataFrame, as_of: datetime | None = None, lenient: boo
     return log.groupBy("DataSource", "EntityType", "EntityId").applyInPandas(fold, "DataSource string, EntityType string, EntityId string, state string, error string")
 
 
-def revert_documents(log: DataFrame, to: datetime, now: datetime, dry_run: bool = False) -> DataFrame:
-    """One new Update for each entity whose state differs from that at `to`: EntityId, Timestamp, Data, error, written."""
+def revert_documents(log: DataFrame, to: datetime | str, now: datetime, dry_run: bool = False, hub: str | None = None) -> DataFrame:
+    """One new Update for each entity whose state differs from that at `to`: EntityId, Timestamp, Data, error, written.
+
+    to: a time, or the id of an entry: then all up to it, in the order of replay. hub: histories of other data sources are
+    refused."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         first = part.iloc[0]
         entries = [r | {"Data": json.loads(r["Data"]), "Timestamp": r["Timestamp"].isoformat()} for r in part.to_dict("records")]
         data, error = None, None
-        if not any(e["EntryType"] == "Init" and D.as_instant(e["Timestamp"]) <= to for e in entries):
+        if isinstance(to, str):
+            ranked = sorted(entries, key=D.replay_order)
+            last = next((k for k, e in enumerate(ranked) if e["id"] == to), None)
+            then = ranked[: last + 1] if last is not None else None
+        else:
+            then = [e for e in entries if D.as_instant(e["Timestamp"]) <= to]
+        if hub is not None and first["DataSource"] != hub:
+            error = "UNSUPPORTED_DATA_SOURCE"
+        elif then is None:
+            error = "TRACKING_ENTRY_NOT_FOUND"
+        elif not any(e["EntryType"] == "Init" for e in then):
             error = "NO_TRACKING_STATE_AT_TARGET"
         else:
             try:
-                data = D.diff(D.strip_base(D.replay(entries)), D.strip_base(D.replay(entries, to)))
+                data = D.diff(D.strip_base(D.replay(entries)), D.strip_base(D.replay(then)))
             except D.PatchError:
                 error = "REPLAY_FAILED"
         return pd.DataFrame([{"DataSource": first["DataSource"], "EntityType": first["EntityType"], "EntityId": first["EntityId"], "EntryType": "Update", "Timestamp": pd.Timestamp(now), "Data": None if data is None else D.canonical(data), "error": error, "written": data is not None and not dry_run}])
@@ -115,15 +129,18 @@ def rebase_documents(log: DataFrame, to: datetime, stored: DataFrame | None = No
             state, warning = None, None
             if all(len(v) == 1 for v in inits.values()) and inits:
                 try:
-                    state = D.strip_base(D.replay(entries, to))
+                    replayed = D.replay(entries, to)
+                    # the baseline goes to the cutoff, but the entity keeps the time it was created at
+                    state = D.strip_base(replayed) | {"createdOn": replayed["createdOn"]}
                 except D.PatchError:
                     state = None
             if state is None and not after and doc is not None and updated is not None and D.as_instant(updated) <= to:
-                state, warning = D.strip_base(json.loads(doc)), "STORED_ENTITY_RECOVERY"
+                whole = json.loads(doc)
+                state, warning = D.strip_base(whole) | ({"createdOn": whole["createdOn"]} if "createdOn" in whole else {}), "STORED_ENTITY_RECOVERY"
             if state is None:
                 out = [r | {"action": "failed", "warning": "REPLAY_FAILED"} for r in rows]
             else:
-                base = before[0] | {"id": f"rebase:{before[0]['EntityId']}:{cutoff.isoformat()}", "EntryType": "Init", "Timestamp": pd.Timestamp(cutoff).tz_convert(None), "_ts": 0, "Data": D.canonical(state), "action": "baseline", "warning": warning}
+                base = before[0] | {"id": hashlib.sha256("|".join([str(before[0]["EntityId"]), *sorted(str(r["id"]) for r in before), D.canonical(state)]).encode()).hexdigest(), "EntryType": "Init", "Timestamp": pd.Timestamp(cutoff).tz_convert(None), "_ts": 0, "Data": D.canonical(state), "action": "baseline", "warning": warning}
                 out = [base, *(r | {"action": "keep", "warning": None} for r in after)]
         return pd.DataFrame(out)[columns]
 

@@ -10,30 +10,50 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+def ordering(order_by: str | None, key: str) -> list[tuple[str, bool]]:
+    """An order clause as (column, descending) pairs, ended by the key."""
+    out = []
+    for part in (order_by or "").split(","):
+        if part.strip():
+            column, _, way = part.strip().partition(" ")
+            out.append((column.removeprefix("x."), way.strip().lower() == "desc"))
+    return out if key in [c for c, _ in out] else [*out, (key, False)]
+
+
 def entities_where(entities: DataFrame, where: str | None = None, select: str | None = None, order_by: str | None = None, page_size: int = 100, token: str | None = None, parameters: dict[str, Any] | None = None, key: str = "id") -> DataFrame:
-    """One page, alias x, named parameters :name. page_size -1 gives all rows.
-
-    Pages follow the order clause's column and the key, so the next one starts behind the token's row and nothing is skipped."""
-    spark = entities.sparkSession
-    view = f"x_{abs(hash(id(entities)))}"
-    entities.createOrReplaceTempView(view)
-    rows = spark.sql(f"SELECT x.* FROM {view} x" + (f" WHERE {where}" if where else ""), args=parameters or {})
-    column, _, way = (order_by or key).partition(" ")
-    column = column.removeprefix("x.")
-    down = way.strip().lower() == "desc"
+    """One page, alias x, named parameters :name; select is any SELECT list. page_size -1 gives all rows.
+
+    Pages follow the order clause and the key, nulls first when ascending and last when descending, so the next one starts
+    behind the token's row, and no row is skipped or given twice."""
+    rows = matching(entities, where, parameters)
+    order, kinds = ordering(order_by, key), dict(rows.dtypes)
     if token:
-        last, last_key = json.loads(base64.urlsafe_b64decode(token))
-        c, k = F.col(column), F.col(key)
-        a, b = F.lit(last).cast(dict(rows.dtypes)[column]), F.lit(last_key).cast(dict(rows.dtypes)[key])
-        rows = rows.where(((c < a) if down else (c > a)) | ((c == a) & (k > b)))
-    rows = rows.orderBy(F.desc(column) if down else F.asc(column), key)
+        past, same = F.lit(False), F.lit(True)
+        for (column, down), value in zip(order, json.loads(base64.urlsafe_b64decode(token)), strict=True):
+            c, v = F.col(column), F.lit(value).cast(kinds[column])
+            if down:
+                after = F.lit(False) if value is None else (c < v) | c.isNull()
+            else:
+                after = c.isNotNull() if value is None else c > v
+            past, same = past | same & F.coalesce(after, F.lit(False)), same & c.eqNullSafe(v)
+        rows = rows.where(past)
+    rows = rows.orderBy(*[F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order])
     rows = rows if page_size < 0 else rows.limit(page_size)
-    return rows.selectExpr(*[c.strip().removeprefix("x.") for c in select.split(",")]) if select else rows
+    return rows.sparkSession.sql(f"SELECT {select} FROM {{rows}} x", args=parameters or {}, rows=rows) if select else rows
+
+
+def matching(entities: DataFrame, where: str | None, parameters: dict[str, Any] | None = None) -> DataFrame:
+    return entities.sparkSession.sql("SELECT x.* FROM {rows} x" + (f" WHERE {where}" if where else ""), args=parameters or {}, rows=entities)
+
+
+def total_count(entities: DataFrame, where: str | None = None, parameters: dict[str, Any] | None = None) -> DataFrame:
+    """The count of all rows that a query pages through, as one row; asked for apart from the page."""
+    return matching(entities, where, parameters).agg(F.count("*").alias("total"))
 
 
-def next_token(row: dict[str, Any], order_by: str, key: str = "id") -> str:
-    """The continuation token behind a page's last row."""
-    return base64.urlsafe_b64encode(json.dumps([row[order_by], row[key]], default=str).encode()).decode()
+def next_token(row: dict[str, Any], order_by: str | None, key: str = "id") -> str:
+    """The continuation token behind a page's last row, which must hold the columns of the order clause and the key."""
+    return base64.urlsafe_b64encode(json.dumps([row[c] for c, _ in ordering(order_by, key)], default=str).encode()).decode()
 
 
 def by_ids(entities: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -70,28 +90,31 @@ def log_where(logs: DataFrame, kind: str, where: str | None, properties: list[st
     return rows.where(like_log_column(where, properties)) if where else rows
 
 
-def trace(tables: list[tuple[str, DataFrame]], correlation: str, take: int, latest: int = 10_000) -> DataFrame:
-    """Rows of several telemetry tables that are correlated or share an operation with a correlated row, by time."""
+def trace(tables: list[tuple[str, DataFrame]], correlation: str, take: int, latest: int = 10_000, since: Any = None, until: Any = None) -> DataFrame:
+    """Rows of several telemetry tables that are correlated or share an operation with a correlated row, by time; since and
+    until bound the time, and reach the scans."""
     rows: DataFrame | None = None
     for kind, t in tables:
         t = t.withColumn("ItemType", F.lit(kind))
         rows = t if rows is None else rows.unionByName(t, allowMissingColumns=True)
+    rows = rows if since is None else rows.where(F.col("TimeGenerated") >= since)
+    rows = rows if until is None else rows.where(F.col("TimeGenerated") <= until)
     hits = rows.where(F.col("CorrelationId") == correlation).select(F.col("OperationId").alias("op")).distinct()
     return rows.join(hits, rows["OperationId"] == hits["op"], "left_semi").orderBy("TimeGenerated", "OperationId", "ItemType").limit(max(1, min(take, latest)))
 
 
 def span_tree(spans: DataFrame) -> DataFrame:
     """spans (id, parent, start, name) -> the rows with depth and ordinal, children behind their parent by start then name;
-    spans whose parent is missing come last. A tree is one request's, so it is bounded."""
-    spans.createOrReplaceTempView("aurum_spans")
+    spans whose parent is missing come last; spans that are their own ancestors have no root and are left out. A tree is one
+    request's, so it is bounded; one deeper than spark.sql.cteRecursionLevelLimit is an error."""
     return spans.sparkSession.sql("""
         WITH RECURSIVE tree (id, parent, start, name, depth, path) AS (
           SELECT id, parent, start, name, 0, array(struct(CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS late, start, lower(name) AS name, id))
-          FROM aurum_spans s WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM aurum_spans p WHERE p.id = s.parent)
+          FROM {spans} s WHERE parent IS NULL OR NOT EXISTS (SELECT 1 FROM {spans} p WHERE p.id = s.parent)
           UNION ALL
           SELECT c.id, c.parent, c.start, c.name, t.depth + 1, concat(t.path, array(struct(0 AS late, c.start, lower(c.name) AS name, c.id)))
-          FROM tree t JOIN aurum_spans c ON c.parent = t.id)
-        SELECT id, parent, name, depth, row_number() OVER (ORDER BY path) AS ordinal FROM tree""")
+          FROM tree t JOIN {spans} c ON c.parent = t.id)
+        SELECT id, parent, name, depth, row_number() OVER (ORDER BY path) AS ordinal FROM tree""", spans=spans)
 
 
 def latest_markers(markers: DataFrame, key: list[str], order: str) -> DataFrame:

@@ -49,11 +49,11 @@ def entry(kind, minutes, data, ts=0, ident=""):
 
 
 def test_replay_ignores_what_is_older_than_the_baseline():
-    log = [entry("Init", 0, {"Name": "Initial", "Optional": "x", "Tags": ["one"]}), entry("Update", -5, {"Name": ["Initial", "old"]}), entry("Update", 1, {"Name": ["Initial", "Updated"], "Tags": [["one"], ["one", "two"]]}), entry("Update", 2, {"Optional": ["x", 0, 0]})]
+    log = [entry("Init", 0, {"city": "Lima", "floors": 3, "owners": [7]}), entry("Update", -9, {"city": ["Lima", "Cusco"]}), entry("Update", 4, {"floors": [3, 5], "owners": [[7], [7, 8, 9]]}), entry("Update", 6, {"city": ["Lima", 0, 0]})]
     state = D.replay(log)
-    assert (state["Name"], state["Tags"], "Optional" in state) == ("Updated", ["one", "two"], False)
-    assert state["lastUpdated"] == (T0 + timedelta(minutes=2)).isoformat()
-    assert D.replay(log, T0 + timedelta(minutes=1))["Optional"] == "x"
+    assert (state["floors"], state["owners"], "city" in state) == (5, [7, 8, 9], False)
+    assert state["lastUpdated"] == (T0 + timedelta(minutes=6)).isoformat()
+    assert D.replay(log, T0 + timedelta(minutes=5))["city"] == "Lima"
 
 
 def test_replay_order_of_equal_times_and_lenience():
