@@ -5,24 +5,26 @@
    nothing, moving it costs 1, or what `cost` says. Its size is old shards times new shards, whatever the documents.
 3. The flow out of an old shard cuts the sequence of its blocks. A block between two cuts moves whole; a block that a
    cut falls into is shared out by document, large ones first, each to the target with the most room.
-4. rewrite() writes only the new shards that gain or lose documents.
+4. rewrite() writes only the new shards that gain or lose documents, beside the old files, and then replaces their folders.
 
-Defined cases: a null text has no bytes and size 1; rows with one doc_id and text share a block and are told apart by
-nothing, so any of them may take either slot; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text has no bytes and size 1; a null doc_id is a document like any other; rows that repeat others are
+each placed, and any of equal rows may take either slot; an empty table gives an empty result; other columns are ignored by
+reshard() and kept by rewrite(), but for shard and slot, which are its own.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import ship, stored, table
+from .common import discard, new_path, ship, stored, table
 
 #: Blocks of a shard: as many as keep a block under so many bytes; else up to BLOCKS of at least BLOCK_ROWS rows, since a
 #: cut is the evener the more documents its block has.
-BLOCK_BYTES, BLOCKS, BLOCK_ROWS = 64 << 20, 64, 128
+BLOCK_BYTES, BLOCKS, BLOCK_ROWS, MOST_ROWS = 64 << 20, 64, 128, 1 << 16
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[float]]) -> list[list[int]]:
@@ -71,16 +73,21 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: list[list[float]
     return [[room[2 * (i * m + j) + 1] for j in range(m)] for i in range(n)]
 
 
+def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
+    """(row_no, doc_id, size, text_crc32, old_shard) of each row, stored; row_no tells rows that repeat each other apart."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    return stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "sizes")
+
+
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacities: list[int] | None = None, cost: list[list[float]] | None = None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, size, text_crc32, old_shard, shard, slot.
+    """docs (doc_id, text) -> row_no, doc_id, size, text_crc32, old_shard, shard, slot.
 
     old_shard: a column expression of 0 .. old_shards-1. capacities: bytes of each new shard; equal shares if None.
     """
     ship(docs.sparkSession)
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
-    rows = stored(rows, "sizes")
+    rows = sized(docs, old_shard)
     sizes = {r[0]: r for r in rows.groupBy("old_shard").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     supply = [sizes[i]["bytes"] if i in sizes else 0 for i in range(old_shards)]
     total = sum(supply)
@@ -94,8 +101,10 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
             if flow[i][j]:
                 cuts.append((i, j, at, at := at + flow[i][j]))
     cuts = spark.createDataFrame(cuts, "old_shard int, shard int, lo long, hi long")  # at most a row for each pair of shards
-    blocks = max(-(-max([1, *supply]) // BLOCK_BYTES), min(BLOCKS, sum(r["n"] for r in sizes.values()) // (old_shards * BLOCK_ROWS)))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(blocks)).cast("int"))
+    # as many blocks of each old shard as its own bytes and rows ask for, so that a large shard has no larger blocks
+    each = [(i, int(max(-(-max(1, r["bytes"]) // BLOCK_BYTES), min(BLOCKS, r["n"] // BLOCK_ROWS), r["n"] // MOST_ROWS, 1))) for i, r in sizes.items()]
+    blocks = F.broadcast(spark.createDataFrame(each, "old_shard int, blocks int"))
+    rows = rows.join(blocks, "old_shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "row_no"), F.col("blocks")).cast("int")).drop("blocks")
     line = W.partitionBy("old_shard").orderBy("block")
     ends = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).withColumn("stop", F.sum("bytes").over(line)).withColumn("start", F.col("stop") - F.col("bytes"))
     pieces = ends.join(F.broadcast(cuts), "old_shard").where("lo < stop and hi > start")
@@ -106,7 +115,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     def share(part: pd.DataFrame) -> pd.DataFrame:
         open_ = [(-t["room"], t["shard"]) for t in part["targets"].iloc[0]]
         heapq.heapify(open_)
-        part = part.drop(columns="targets").sort_values(["size", "doc_id", "text_crc32"], ascending=[False, True, True])
+        part = part.drop(columns="targets").sort_values(["size", "doc_id", "text_crc32", "row_no"], ascending=[False, True, True, True])
         shards = []
         for size in part["size"]:
             room, shard = open_[0]
@@ -119,8 +128,8 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     counts = dealt.groupBy("shard", "old_shard", "block").agg(F.count("*").alias("n"))
     before = W.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("shard", "old_shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    rank = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("doc_id", "text_crc32", "size"))
-    return dealt.withColumn("rank", rank).join(bases, ["shard", "old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
+    rank = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("doc_id", "text_crc32", "size", "row_no"))
+    return dealt.withColumn("rank", rank).join(bases, ["shard", "old_shard", "block"]).select("row_no", "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
 
 
 def affected(plan: DataFrame) -> list[int]:
@@ -129,17 +138,58 @@ def affected(plan: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect())
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str) -> list[int]:
-    """Write the affected shards of docs below path, one folder shard=N each, in slot order; others stay untouched."""
+def rewrite(docs: DataFrame, plan: DataFrame, path: str, new_shards: int) -> list[int]:
+    """Write the affected shards of docs below path, one folder shard=N each, in slot order; the others stay untouched. New
+    files are written beside the folder first; then each affected shard's folder is replaced, also that of a shard that has
+    become empty or is no more. Returns the affected shards.
+
+    A document is found in its shard by doc_id (null as well), size and crc32; rows that agree in all three take the slots
+    of such rows in the order of a full hash of the text."""
+    spark = docs.sparkSession
     changed = affected(plan)
-    rows = docs.join(plan.where(F.col("shard").isin(changed)).select("doc_id", "shard", "slot"), "doc_id")
-    (rows.repartition("shard", (F.col("slot") / 100_000).cast("int")).sortWithinPartitions("shard", "slot")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    known = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), (F.octet_length(text) + 1).cast("long"), F.crc32(text)]
+    names = ["_id", "_size", "_crc"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], *[k.alias(n) for k, n in zip(known, names, strict=True)])
+    places = plan.where(F.col("shard").isin(changed)).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
+    # rows that repeat each other are numbered on both sides; others need no numbers, and most rows are others
+    several = stored(plan.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc")).agg(F.count("*").alias("_n")).where("_n > 1").select(*names), "several")
+    one = rows.join(several, names, "left_anti").join(places.join(several, names, "left_anti"), names)
+    all_places = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot").join(several, names, "left_semi")
+    ranked = all_places.withColumn("_k", F.row_number().over(W.partitionBy(*names).orderBy("shard", "slot"))).where(F.col("shard").isin(changed))
+    mine = rows.join(several, names, "left_semi").withColumn("_k", F.row_number().over(W.partitionBy(*names).orderBy(F.xxhash64(text))))
+    out = one.unionByName(mine.join(ranked, [*names, "_k"]).drop("_k")).drop(*names)
+    fresh = f"{path.rstrip('/')}/.new-{uuid.uuid4().hex}"
+    (out.repartition("shard", (F.col("slot") / 100_000).cast("int")).sortWithinPartitions("shard", "slot")
+        .write.partitionBy("shard").parquet(fresh))
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    fs = folder(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
+    for shard in changed:
+        old, new = folder(f"{path.rstrip('/')}/shard={shard}"), folder(f"{fresh}/shard={shard}")
+        fs.delete(old, True)
+        if fs.exists(new) and not fs.rename(new, old):
+            raise OSError(f"{old} could not be replaced")
+    for status in fs.globStatus(folder(f"{path.rstrip('/')}/shard=*")) or []:
+        if int(status.getPath().getName().split("=")[1]) >= new_shards:
+            fs.delete(status.getPath(), True)
+    fs.delete(folder(fresh), True)
+    discard(several)
     return changed
 
 
 def op2_reshard(spark, sf_dir: str) -> DataFrame:
-    """The old layout puts the documents of a source together, over 12 shards; the new one has 16 equal shards."""
-    old = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12))
-    plan = reshard(table(spark, sf_dir, "documents"), old, 12, 16)
-    return plan.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    """The old layout puts the documents of a source together, over 12 shards; the new one has 16 equal shards. The affected
+    shards are rewritten in the shared folder, and the result is read from the files: where each document lies."""
+    docs = table(spark, sf_dir, "documents")
+    plan = stored(reshard(docs, F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12)), 12, 16), "plan")
+    path = new_path(spark, "shards")
+    changed = rewrite(docs, plan, path, 16)
+    text = F.coalesce("text", F.lit(""))
+    names = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    rest = plan.where(~F.col("shard").isin(changed)).select(*names)  # shards that stay as they are have no new files
+    if not changed:
+        files = rest
+    else:
+        files = spark.read.schema("doc_id " + dict(docs.dtypes)["doc_id"] + ", text string, slot long, shard int").parquet(path)
+        files = files.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), "shard", "slot").unionByName(rest)
+    return files.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
