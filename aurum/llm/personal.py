@@ -1,18 +1,21 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame operations only.
 
 1. Seeds: the leftmost non-overlapping matches of four base patterns (email, ip, card, phone), all places in whole texts.
-2. Lexical patterns: the two words before a seed, lower-cased, of one kind of entity.
-3. Candidates: words that could be identifiers (by loose shapes) behind a seed's pattern.
-4. The graph of patterns and instances (distinct strings) is scored in rounds: a pattern by the mean score of its instances,
-   smoothed; an instance by its best pattern; seeds stay at 1. Candidates that pass INSTANCE_SCORE in patterns of at least
-   SUPPORT distinct instances are spans too.
+2. Candidates: matches of four looser patterns (obfuscated addresses, hexadecimal groups, digits in groups with or without
+   blanks and brackets) that overlap no seed.
+3. Lexical patterns: the words around a seed or candidate, lower-cased, digits as #: two before, two after, one on each side.
+4. The graph of patterns and instances (distinct strings) of each kind is scored in rounds: a pattern that at least SUPPORT
+   distinct sure instances have, and that hardly any unsure one has (their share, smoothed, is at least SCORE), makes its other
+   instances sure. These induce patterns of their own in the next round, until no instance is added. Seeds are sure from the
+   start. All places of sure instances are spans.
 Scores are joined and aggregated in Spark; every round is written to the shared folder.
 
-Offsets count code points. Possessive quantifiers and \\G (the end of the match before) keep the base patterns linear in the
-length of a text without changing what they match: a run of letters or digits is entered at its start only.
+Offsets count code points. Possessive quantifiers and \\G (the end of the match before) keep the patterns linear in the
+length of a text without changing what the base ones match: a run of letters or digits is entered at its start only.
 
 Defined cases: a null text is an empty one; rows with one doc_id and one text get the same result each, rows with one
-doc_id and different texts their own; a null doc_id is a document like any other; other columns are ignored.
+doc_id and different texts their own; a null doc_id is a document like any other; an empty table gives an empty one; other
+columns are ignored. An added span overlaps no base span, and of added spans that overlap the one of the earlier kind stays.
 """
 
 from __future__ import annotations
@@ -34,14 +37,16 @@ BASE = {
 #: A text without such a character has no match, and needs no pattern.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 LOOSE = {
-    "email": r"^[^\s@<>\"']+(?:@|\(at\)|\[at\])[^\s@<>\"']+$",
-    "ip": r"^[0-9a-fA-F]{1,4}(?:[.:][0-9a-fA-F]{1,4}){3,7}$",
-    "card": r"^[0-9](?:-?[0-9]){11,18}$",
-    "phone": r"^\(?[0-9](?:[().-]*[0-9]){6,14}$",
+    "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++\x20?+(?:@|\(at\)|\[at\])\x20?+[A-Za-z0-9-]++(?:\x20?+(?:\.|\(dot\)|\[dot\])\x20?+[A-Za-z0-9-]++)*+",
+    "ip": r"(?:(?<![0-9A-Za-z.:])|\G)[0-9a-fA-F]{1,4}+(?:[.:][0-9a-fA-F]{1,4}+){3,7}+",
+    "card": r"(?:(?<![0-9A-Za-z])|\G)[0-9]{4}+(?:[\x20.-]?+[0-9]{4}+){2,3}+(?:[\x20.-]?+[0-9]{1,3}+)?+",
+    "phone": r"(?:(?<![0-9A-Za-z])|\G)\(?+[0-9]{2,5}+\)?+(?:[\x20./-]{1,2}+\(?+[0-9]{2,5}+\)?+){1,4}+",
 }
-ROUNDS, INSTANCE_SCORE, SUPPORT, SMOOTH = 3, 0.8, 4, 0.5
+LOOSE_NEEDS = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9a-fA-F][.:][0-9a-fA-F]", "card": r"[0-9]{4}", "phone": r"[0-9]{2}"}
+SUPPORT, SCORE, SMOOTH = 4, 0.8, 0.5
+#: Characters on each side of a match in which its context lies.
+REACH = 256
 KEY = ["doc_key", "text_hash"]
-BLANK = r"[\x20\x09-\x0D]"
 
 
 def row_key() -> list[Column]:
@@ -71,85 +76,97 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def matches(kind: str, text: Column) -> Column:
-    """Arrays of struct(i, match, gap): gap is the length of what stands between the match and the one before."""
-    found = F.regexp_extract_all(text, F.lit(BASE[kind]), F.lit(0))
-    if NEEDS[kind]:
-        found = F.when(F.instr(text, NEEDS[kind]) > 0, found).otherwise(F.array().cast("array<string>"))
-    if kind == "card":  # single digits are no match, and most numbers are short
+def near(gap: Column, side: str) -> Column:
+    """The last (before) or first (after) two words of what stands between two matches, as far as they lie within REACH
+    characters, lower-cased, digits as #."""
+    some = F.right(gap, F.lit(REACH)) if side == "before" else F.left(gap, F.lit(REACH))
+    plain = F.translate(F.lower(some), "0123456789\t\n\x0b\f\r", "##########     ")
+    words = F.array_remove(F.split(plain, r"\x20+"), "")
+    return F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2) if side == "before" else F.slice(words, 1, 2)
+
+
+def matches(kind: str, text: Column, pattern: str, present: Column | None) -> Column:
+    """Arrays of struct(kind, i, match, gap, before, after): gap is the length of what stands between the match and the one
+    before, before and after the words on its sides."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    if present is not None:
+        found = F.when(present, found).otherwise(F.array().cast("array<string>"))
+    if pattern == BASE["card"]:  # single digits are no match, and most numbers are short
         found = F.when(F.exists(found, lambda m: F.length(m) >= 16), found).otherwise(F.array().cast("array<string>"))
-    gaps = F.split(text, BASE[kind], -1)
-    return F.when(F.size(found) > 0, F.transform(found, lambda m, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), m.alias("match"), F.length(F.get(gaps, i)).alias("gap"))))
+    gaps = F.split(text, pattern, -1)
+    each = lambda m, i: F.struct(F.lit(KINDS.index(kind)).alias("kind"), i.alias("i"), m.alias("match"), F.length(F.get(gaps, i)).alias("gap"), near(F.get(gaps, i), "before").alias("before"), near(F.get(gaps, i + 1), "after").alias("after"))
+    return F.when(F.size(found) > 0, F.transform(found, each))
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_key, text_hash, kind (its number in KINDS), start, stop, match, before (up to 80 characters)."""
+MATCH = "struct<kind:int,i:int,match:string,gap:int,before:array<string>,after:array<string>>"
+
+
+def spans_of(docs: DataFrame, patterns: dict[str, str], present: dict[str, Column | None]) -> DataFrame:
+    """docs (doc_id, text) -> doc_key, text_hash, kind (its number in KINDS), start, stop, match, before, after of all matches."""
     rows = docs.select(*row_key(), "text")
-    rows = rows.select(*KEY, *[matches(k, F.col("text")).alias(k) for k in KINDS]).where(reduce(Column.__or__, [F.col(k).isNotNull() for k in KINDS]))
-    none = F.array().cast("array<struct<kind:int,i:int,match:string,gap:int>>")
+    rows = rows.select(*KEY, *[matches(k, F.col("text"), patterns[k], present[k]).alias(k) for k in KINDS]).where(reduce(Column.__or__, [F.col(k).isNotNull() for k in KINDS]))
+    none = F.array().cast(f"array<{MATCH}>")
     found = rows.select(*KEY, F.explode(F.concat(*[F.coalesce(F.col(k), none) for k in KINDS])).alias("m"))
-    # no text goes further than this: only the matches and the lengths of gaps are shuffled
+    # no text goes further than this: only the matches, the lengths of gaps and a few words are shuffled
     found = found.select(*KEY, "m.*").dropDuplicates([*KEY, "kind", "i"])
     order = W.partitionBy(*KEY, "kind").orderBy("i")
     found = found.withColumn("stop", F.sum(F.col("gap") + F.length("match")).over(order).cast("int")).withColumn("start", F.col("stop") - F.length("match"))
-    true = reduce(Column.__or__, [(F.col("kind") == i) & holds(k, F.col("match")) for i, k in enumerate(KINDS)])
-    return found.where(true).select(*KEY, "kind", "start", "stop", "match")
+    return found.select(*KEY, "kind", "start", "stop", "match", "before", "after")
 
 
-def contexts(docs: DataFrame, loose: Column) -> DataFrame:
-    """Words with digits, @ or "at" that a loose shape fits: doc_key, text_hash, word, pos (number of the word in the text), inside (offset in it), context (two words before)."""
-    rows = docs.where(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]")).select(*row_key(), F.split("text", BLANK).alias("words"))
-    each = rows.select(*KEY, F.posexplode("words").alias("pos", "word"), "words").where("pos > 1").where(F.length("word").between(5, 64) & F.col("word").rlike("[0-9@]|[(\\[]at[)\\]]"))
-    bare = F.regexp_replace("word", r"^[\"'<(\[{,;:!?#$%&*]+(?=[\w+(])|[\"'>)\]},;:.!?#$%&*]+$", "")
-    each = each.withColumn("bare", bare).where(loose)
-    inside = F.instr("word", F.col("bare")) - 1
-    # only scalars leave this stage, never a copy of the array for each word
-    before = F.concat_ws(" ", F.lower(F.get("words", F.col("pos") - 2)), F.lower(F.get("words", F.col("pos") - 1)))
-    return each.select(*KEY, F.col("bare").alias("word"), "pos", inside.cast("int").alias("inside"), before.alias("context"))
+def base_spans(docs: DataFrame) -> DataFrame:
+    """The matches of the base patterns that hold."""
+    present = {k: None if c is None else F.instr("text", c) > 0 for k, c in NEEDS.items()}
+    found = spans_of(docs, BASE, present)
+    true = reduce(Column.__or__, [(F.col("kind") == i) & holds(k, F.col("match")) for i, k in enumerate(KINDS)])
+    return found.where(true)
 
 
-def starts(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """words (doc_key, text_hash, pos, inside, ...) with start, the offset in the text: the words before and their blanks are summed."""
-    some = docs.select(*row_key(), "text").join(words.select(*KEY).distinct(), KEY, "left_semi").dropDuplicates(KEY)
-    each = some.select(*KEY, F.posexplode(F.split("text", BLANK)).alias("pos", "w")).select(*KEY, "pos", (F.length("w") + 1).alias("n"))
-    before = F.sum("n").over(W.partitionBy(*KEY).orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
-    at = each.select(*KEY, "pos", F.coalesce(before, F.lit(0)).alias("at"))
-    return words.join(at, [*KEY, "pos"]).withColumn("start", (F.col("at") + F.col("inside")).cast("int"))
+def outside(spans: DataFrame, held: DataFrame) -> DataFrame:
+    """spans that overlap none of held."""
+    h = held.select(*[F.col(k).alias(f"h_{k}") for k in KEY], F.col("start").alias("h_start"), F.col("stop").alias("h_stop"))
+    on = [*[F.col(k) == F.col(f"h_{k}") for k in KEY], F.col("start") < F.col("h_stop"), F.col("h_start") < F.col("stop")]
+    return spans.join(h, on, "left_anti")
 
 
-def seed_contexts(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """kind, context, instance of the base spans."""
-    rows = docs.select(*row_key(), "text").where(F.col("text").rlike("[0-9@]"))
-    first = spans.groupBy(*KEY).agg(F.collect_set(F.struct("kind", "start", "match")).alias("spans"))
-    seen = rows.join(first, KEY).select(F.explode("spans").alias("s"), "text").select("s.kind", F.expr("substring(text, greatest(s.start - 79, 1), least(s.start, 80))").alias("before"), "s.match")
-    context = F.lower(F.regexp_extract("before", r"(\S+)[\x20\x09-\x0D](\S+)[\x20\x09-\x0D]$", 1)), F.lower(F.regexp_extract("before", r"(\S+)[\x20\x09-\x0D](\S+)[\x20\x09-\x0D]$", 2))
-    return seen.select("kind", F.concat_ws(" ", *context).alias("context"), F.col("match").alias("instance")).where("context != ' '")
+def contexts(spans: DataFrame, seed: bool) -> DataFrame:
+    """kind, pattern, instance of each span: two words before, two after, one on each side; where there are that many."""
+    two = lambda c: F.when(F.size(c) == 2, F.concat_ws(" ", c))
+    last, first = F.get("before", F.size("before") - 1), F.get("after", 0)
+    both = F.when(last.isNotNull() & first.isNotNull(), F.concat(F.lit("m "), last, F.lit(" _ "), first))
+    each = spans.select("kind", F.col("match").alias("instance"), F.explode(F.array(F.concat(F.lit("b "), two("before")), F.concat(F.lit("a "), two("after")), both)).alias("pattern"))
+    return each.where("pattern is not null").withColumn("seed", F.lit(int(seed)))
 
 
 def discovered(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """The spans that the patterns of the seeds add: doc_key, text_hash, kind, start, stop; none overlaps a base span."""
-    seeds = stored(seed_contexts(docs, spans).distinct(), "seeds")
-    # a pattern must have been induced by several distinct seeds
-    patterns = stored(seeds.groupBy("kind", "context").agg(F.count_distinct("instance").alias("k")).where("k > 1").select("kind", "context"), "patterns")
-    if not patterns.take(1):
-        return spans.select(*KEY, "kind", "start", "stop").where("false")
-    shapes = [F.when(F.col("bare").rlike(LOOSE[k]), F.lit(i)) for i, k in enumerate(KINDS)]
-    words = contexts(docs, reduce(Column.__or__, [F.col("bare").rlike(LOOSE[k]) for k in KINDS]))
-    words = words.withColumn("bare", F.col("word")).withColumn("kind", F.explode(F.array(*shapes))).drop("bare").where("kind is not null")
-    words = stored(words.join(patterns, ["kind", "context"], "left_semi"), "candidates")
-    edges = stored(seeds.select("kind", "context", "instance", F.lit(1.0).alias("score")).union(words.select("kind", "context", F.col("word").alias("instance"), F.lit(0.0).alias("score"))).groupBy("kind", "context", "instance").agg(F.max("score").alias("seed")).join(patterns, ["kind", "context"], "left_semi"), "graph")
-    scores = None
-    for _ in range(ROUNDS):
-        now = edges.withColumn("score", F.col("seed")) if scores is None else edges.join(scores, ["kind", "instance"], "left").withColumn("score", F.greatest("seed", F.coalesce("best", F.lit(0.0))))
-        rated = now.groupBy("kind", "context").agg((F.sum("score") / (F.count("*") + SMOOTH)).alias("mean"), F.count("*").alias("k"))
-        new = edges.join(rated.where(F.col("k") >= SUPPORT), ["kind", "context"]).groupBy("kind", "instance").agg(F.max("mean").alias("best"))
-        old, scores = scores, stored(new, "scores")
-        if old is not None:
-            discard(old)
-    sure = scores.where(F.col("best") >= INSTANCE_SCORE).select("kind", F.col("instance").alias("word"))
-    new = starts(docs, words.join(sure, ["kind", "word"], "left_semi")).select(*KEY, "kind", "start", (F.col("start") + F.length("word")).alias("stop")).distinct()
-    held = spans.select(*KEY, F.col("start").alias("s"), F.col("stop").alias("e"))
-    return stored(new.join(held, [*[new[k] == held[k] for k in KEY], new["start"] < held["e"], held["s"] < new["stop"]], "left_anti"), "discovered")
+    """The spans that the patterns add: doc_key, text_hash, kind, start, stop; none overlaps a base span."""
+    present = {k: F.col("text").rlike(p) for k, p in LOOSE_NEEDS.items()}
+    words = stored(outside(spans_of(docs, LOOSE, present), spans), "candidates")
+    # an edge for each pattern and distinct instance; patterns of fewer than SUPPORT instances can never count
+    edges = contexts(spans, True).unionByName(contexts(words, False)).groupBy("kind", "pattern", "instance").agg(F.max("seed").alias("seed"))
+    edges = stored(edges, "edges")
+    often = stored(edges.groupBy("kind", "pattern").agg(F.count("*").alias("n"), F.sum("seed").alias("seeds")).where((F.col("n") >= SUPPORT) & (F.col("n") > F.col("seeds"))).select("kind", "pattern", "n"), "patterns")
+    graph = stored(edges.join(often, ["kind", "pattern"]), "graph")
+    sure = stored(graph.where("seed = 1").select("kind", "instance").distinct(), "sure")
+    added = words.select("kind", F.col("match").alias("instance")).where("false")
+    size = sure.count()
+    while size:
+        hit = graph.join(sure, ["kind", "instance"], "left_semi").groupBy("kind", "pattern", "n").agg(F.count("*").alias("k"))
+        good = hit.where((F.col("k") >= SUPPORT) & (F.col("k") / (F.col("n") + SMOOTH) >= SCORE)).select("kind", "pattern")
+        new = stored(graph.join(good, ["kind", "pattern"], "left_semi").select("kind", "instance").union(sure).distinct(), "sure")
+        discard(sure)
+        sure, before = new, size
+        size = sure.count()
+        if size == before:
+            added = sure
+            break
+    places = words.join(added.withColumnRenamed("instance", "match"), ["kind", "match"], "left_semi").select(*KEY, "kind", "start", "stop")
+    places = stored(places, "places")
+    out = reduce(DataFrame.unionByName, [outside(places.where(F.col("kind") == i), places.where(F.col("kind") < i)) for i in range(len(KINDS))])
+    out = stored(out, "discovered")
+    for x in (words, edges, often, graph, sure, places):
+        discard(x)
+    return out
 
 
 def digest_list(spans: Column) -> Column:
