@@ -4,14 +4,17 @@ Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Pivots
 pivot. A vector x of home cell h can have a partner in cell c only if its distance to the bisector of the two pivots,
 (d(x,c)^2 - d(x,h)^2) / (2 d(c,h)), is at most r (by the triangle inequality, never weaker than d(x,c) - d(x,h) <= 2r): it is
 then copied into c. A pair of two cells is looked for in the lower one only, so a vector is copied to lower cells only.
-Cells join independently, in blocks, by double-precision products. The number of pivots is the largest for which vectors of
-a bounded sample are copied COPIES times at most; it changes the work, never the result.
+Cells join independently, in blocks, by products whose result double precision decides. Pivots are vectors of a bounded
+sample that lie far apart, as many as leave the sample's vectors copied COPIES times at most; they change the work, never the
+result. Where vectors point evenly in all directions, distances to any pivot are nearly equal: no number of pivots separates
+them, few cells remain, and the blocks compare nearly all pairs (figures in the README).
 
 Equal vectors are one class before the join. A block gives for each of its vectors the number of linked vectors, and one edge
 to the smallest of its component inside the block; distributed union-find joins these.
 
 Defined cases: null vectors, zero vectors and those with null, NaN or infinite components link with nothing; vectors of
-different lengths never link; rows with one vec_id are told apart by their vectors; other columns are ignored.
+different lengths never link; rows with one vec_id are told apart by their vectors; a null vec_id counts as a link of others
+but is nobody's component_id while its component has another id; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import components, forest, ship, stored, table
 
-SAMPLE, PIVOTS, COPIES, BLOCK = 4_096, 1_024, 4.0, 2_048
+SAMPLE, PIVOTS, COPIES, BLOCK, STRIP = 4_096, 1_024, 4.0, 8_192, 512
+#: Products in single precision are off by less than this for unit vectors of up to some thousand components.
+MARGIN = 1e-3
 
 
 def units(raw: list[bytes]) -> np.ndarray:
@@ -62,19 +67,44 @@ def copies(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray
     return home, (gap <= radius + 1e-9) & (np.arange(len(pivots)) < home[:, None])
 
 
+def spread(sample: np.ndarray, most: int) -> np.ndarray:
+    """The sample's vectors, each as far from all before it as can be: any number of them from the start are far apart."""
+    near, out = np.full(len(sample), np.inf), []
+    at = 0
+    for _ in range(min(most, len(sample))):
+        out.append(at)
+        near = np.minimum(near, 2 - 2 * (sample @ sample[at]))
+        at = int(near.argmax())
+    return sample[out]
+
+
 def choose_pivots(sample: np.ndarray, radius: float) -> np.ndarray:
     p = min(PIVOTS, max(1, len(sample) // 4))
-    while p > 1 and copies(sample, sample[:p], radius)[1].sum(axis=1).mean() > COPIES:
+    order = spread(sample, p)
+    while p > 1 and copies(sample, order[:p], radius)[1].sum(axis=1).mean() > COPIES:
         p //= 2
-    return sample[:p]
+    return order[:p]
 
 
 def block_links(x: np.ndarray, y: np.ndarray, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of linked vectors; for a block with itself, each pair once."""
-    near = x @ y.T >= least
-    if same:
-        near = np.triu(near, 1)
-    return np.nonzero(near)
+    """Index pairs of linked vectors; for a block with itself, each pair once.
+
+    A strip of rows at a time bounds the memory; single precision finds the pairs that double precision then decides."""
+    p, q = x.astype(np.float32), y.astype(np.float32).T
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range(0, len(x), STRIP):
+        # of a block with itself nothing left of the diagonal counts
+        first = k if same else 0
+        s, t = np.nonzero(p[k : k + STRIP] @ q[:, first:] >= least - MARGIN)
+        s, t = s + k, t + first
+        if same:
+            s, t = s[s < t], t[s < t]
+        for m in range(0, len(s), 1 << 16):
+            i, j = s[m : m + (1 << 16)], t[m : m + (1 << 16)]
+            sure = np.einsum("ij,ij->i", x[i], y[j]) >= least
+            left.append(i[sure])
+            right.append(j[sure])
+    return np.concatenate(left), np.concatenate(right)
 
 
 def cosine_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
