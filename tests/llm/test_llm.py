@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import html
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -131,13 +134,29 @@ def test_reshard_and_rewrite(spark, tmp_path):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(sums.values()) - min(sums.values()) <= 20001
-    changed = reshard.rewrite(docs, plan, str(tmp_path / "out"))
+    changed = reshard.rewrite(docs, plan, str(tmp_path / "out"), 4)
     written = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r[0] for r in written.select("shard").distinct().collect()) == changed
     assert written.count() == sum(len(slots[s]) for s in changed)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in written.collect()) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in rows if r["shard"] in changed)
     assert reshard.reshard(docs.where("false"), F.lit(0), 3, 4).count() == 0
 
 
+def test_rewrite_keeps_every_row_and_drops_shards_that_are_no_more(spark, tmp_path):
+    path = str(tmp_path / "shards")
+    docs = spark.createDataFrame([(k if k % 5 else None, f"text {k % 7}" if k % 3 else None, "x") for k in range(40)] + [(1, "text 1", "x")] * 3, "doc_id long, text string, slot string")
+    old = F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)).cast("int")
+    docs.drop("slot").withColumn("shard", old).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
+    plan = common.stored(reshard.reshard(docs, old, 4, 2), "plan")
+    reshard.rewrite(docs, plan, path, 2)
+    got = spark.read.parquet(path)
+    assert {r[0] for r in got.select("shard").distinct().collect()} <= {0, 1}
+    key = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows.collect())
+    assert key(got) == key(docs), "no row is lost and none comes twice"
+    for r in got.groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect():
+        assert r["s"] == list(range(len(r["s"])))
+
+
 def test_few_moves_when_the_shards_fit(spark):
     docs = table(spark, ["abcd"] * 40)
     assert reshard.reshard(docs, F.col("doc_id") % 4, 4, 4).where("old_shard != shard").count() == 0
@@ -247,7 +266,7 @@ def test_warc(spark, tmp_path):
     meta, text = sorted((r for r in got if r["source_id"] == "<urn:uuid:1>"), key=lambda r: r["record_type"], reverse=True)
     assert bytes(text["content"]).decode() == "Un\ndeux <trois> quatre\ncinq six" and text["refers_to"] == "<urn:uuid:1>"
     assert b"title: T & t\r\n" in bytes(meta["content"]) and b"outlink: /x?a=1&b=2\r\n" in bytes(meta["content"]) and b"language: fr" in bytes(meta["content"])
-    assert text["record_id"] in meta["headers"] and "X-Source-etag: e1" in text["headers"] and text["payload_digest"] == warc.digest(page.encode())
+    assert text["record_id"] in meta["headers"] and "X-Source-ETag: e1" in text["headers"] and text["payload_digest"] == warc.digest(page.encode())
     assert text["block_digest"] == warc.digest(bytes(text["content"])) and f"Content-Length: {len(text['content'])}" in text["headers"]
     assert {r["block_digest"] for r in got} and all(r["refers_to"] for r in got)
     files = warc.write_warc(warc.derivatives(src), str(tmp_path / "w")).collect()
@@ -256,6 +275,129 @@ def test_warc(spark, tmp_path):
     assert warc.derivatives(src.where("false")).count() == 0
 
 
+class Reader(HTMLParser):
+    """The same text by the standard library's parser, one rule after another."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=False)
+        self.out, self.skip, self.head, self.links, self.title, self.in_title = [], [], False, [], None, False
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip:
+            self.skip += [tag] if tag == self.skip[-1] else []
+        elif tag in warc.SKIPPED | warc.RAW:
+            self.skip.append(tag)
+            self.out.append(" ")
+        elif tag == "title":
+            self.in_title = True
+        elif tag == "head":
+            self.head = True
+        else:
+            self.head = self.head and tag in warc.HEADED
+            self.links += [v or "" for k, v in attrs if k == "href"][:1] if tag == "a" else []
+            self.out += ["\n"] if tag in warc.BLOCKS else []
+
+    def handle_startendtag(self, tag, attrs):
+        if tag not in warc.SKIPPED:
+            self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            self.skip.pop() if tag == self.skip[-1] else None
+        elif tag == "title":
+            self.in_title = False
+        elif tag == "head":
+            self.head = False
+        elif tag in warc.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.title = (self.title or "") + data
+            return
+        if self.skip:
+            return
+        self.head = self.head and not data.strip()
+        self.out += [] if self.head else [data]
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+    def text(self):
+        rows = (" ".join(r.split()) for r in html.unescape("".join(self.out)).split("\n"))
+        return "\n".join(r for r in rows if r)
+
+
+def random_page(rng):
+    word = lambda: rng.choice(["eins", "zwei &amp; drei", "&lt;x&gt;", "a &#233; b", "caf\u00e9", "1 > 0", " ", "\n"])
+
+    def node(depth):
+        kind = rng.choice("ttttbbbiiascrkv")
+        inner = "".join(node(depth + 1) for _ in range(rng.randrange(4))) if depth < 4 else word()
+        if kind == "t":
+            return word()
+        if kind == "b":
+            tag = rng.choice(["div", "p", "li", "td", "H1"])
+            return f"<{tag} title='x > y' data-q=\"it's <b>\">{inner}</{tag}>"
+        if kind == "i":
+            tag = rng.choice(["b", "span", "i"])
+            return f"<{tag}>{inner}</{tag} >"
+        if kind == "a":
+            return f"<a class=x href=\"/p?{rng.randrange(9)}\">{inner}</a>"
+        if kind == "s":
+            return f"<script>if (a < b) {{ x('</p>{rng.randrange(9)}') }}</script>"
+        if kind == "c":
+            return "<!-- <p>gone</p> -->"
+        if kind == "r":
+            return rng.choice(["<br>", "<br/>", "<img alt='>'>"])
+        if kind == "k":
+            return f"<noscript>{inner}</noscript>"
+        return f"<svg><path d='M0'/>{word()}</svg>"
+
+    head = "<head><meta charset=utf-8><title>T</title><style>p > a {}</style>" + rng.choice(["</head>", ""]) if rng.random() < 0.7 else ""
+    return f"<!DOCTYPE html><html lang=en>{head}<body>{''.join(node(0) for _ in range(6))}</body></html>"
+
+
+def test_pages_against_the_standard_parser():
+    rng = random.Random(8)
+    for _ in range(300):
+        page = random_page(rng)
+        mine, other = warc.Page(page), Reader()
+        other.feed(page)
+        other.close()
+        assert mine.text() == other.text(), page
+        assert mine.links == other.links and (mine.title or None) == other.title and mine.lang == "en", page
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<title>", "<html ", "<script>", "<!--", "<", "<a '", '<p "\'', "<svg>", "</", "<a href=x "])
+def test_hostile_pages_take_linear_time(piece):
+    began = time.process_time()
+    warc.Page(piece * (400_000 // len(piece))).text()
+    assert time.process_time() - began < 3
+
+
+def test_odd_pages():
+    assert warc.plain_text("<head><title>t</title><p>no end of head</p>") == "no end of head"
+    assert warc.plain_text('<p title="a>b">text</p> 1 < 2 <3') == "text\n1 < 2 <3"
+    assert warc.plain_text("a<style>x") == "a" and warc.plain_text("a<b") == "a" and warc.plain_text("") == ""
+
+
+def test_warc_input_and_encodings(spark, tmp_path):
+    body = gzip.compress(b"<p>packed</p>")
+    http = b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\nTransfer-Encoding: chunked\r\nSet-Cookie: a\r\nSet-Cookie: b\r\n\r\n" + b"".join(b"%x\r\n%s\r\n" % (len(body[k : k + 9]), body[k : k + 9]) for k in range(0, len(body), 9)) + b"0\r\n\r\n"
+    record = lambda kind, block: b"WARC/1.1\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:uuid:7>\r\nWARC-Target-URI: http://x/\r\nWARC-Date: 2024-02-02T00:00:00Z\r\nWARC-Payload-Digest: sha1:ABC\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(block), block)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(b"warcinfo", b"x: y\r\n")) + gzip.compress(record(b"response", http)))
+    (tmp_path / "b.warc").write_bytes(record(b"response", b""))
+    got = warc.read_warc(spark, [str(tmp_path / "a.warc.gz"), str(tmp_path / "b.warc")])
+    assert got.count() == 2
+    text = [r for r in warc.derivatives(got).collect() if r["record_type"] == "conversion" and len(r["content"])]
+    assert [bytes(r["content"]) for r in text] == [b"packed"] and text[0]["payload_digest"] == "sha1:ABC" and text[0]["refers_to"] == "<urn:uuid:7>"
+    assert text[0]["headers"].count("X-Source-Set-Cookie: ") == 2 and "WARC-Date: 2024-02-02T00:00:00Z" in text[0]["headers"]
+
+
 # 5 ----------------------------------------------------------------------------------------------------------------------
 
 
@@ -358,7 +500,19 @@ def test_contexts_of_seeds_discover_more(spark):
     texts = [f"please call phone number +1 555 0{k}0 2000 now" for k in range(8)] + ["please call phone  number 555-123-4567", "please call phone number 555-123-4567, now", "lot number 555-123-4567", "nothing"]
     docs = spark.createDataFrame([*enumerate(texts), (9, texts[9]), (None, texts[9])], "doc_id long, text string")
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["spans"], r["n_added"]) for r in personal.personal_data(docs).collect())
-    assert [g for g in got if g[2]] == [(-1, "phone:25:37", 1), (9, "phone:25:37", 1), (9, "phone:25:37", 1)]
+    assert [g for g in got if g[2]] == [(-1, "phone:25:37", 1), (8, "phone:26:38", 1), (9, "phone:25:37", 1), (9, "phone:25:37", 1), (10, "phone:11:23", 1)]
+
+
+def test_discovered_instances_induce_patterns_of_their_own(spark):
+    """27 seeds vouch for a pattern, its six other numbers for a second pattern, and that one's last number, written with
+    blanks and brackets, is found in the second round; numbers in mixed company are left alone."""
+    own = [f"({k}55) 12{k} 456{k}" for k in range(1, 8)]
+    texts = [f"call my office number +1 555 1{k:02d} 2000 today" for k in range(27)]
+    texts += [f"call my office number {x} today" for x in own[:6]] + [f"the fax line {x} rings often" for x in own]
+    texts += [f"part code 20{k}-30{k}-4000 in stock" for k in range(9)]
+    got = {r["doc_id"]: r for r in personal.personal_data(table(spark, texts)).collect()}
+    assert [k for k, r in sorted(got.items()) if r["n_added"]] == list(range(27, 40))
+    assert got[39]["spans"] == "phone:13:27" and texts[39][13:27] == own[6]
 
 
 # 8 ----------------------------------------------------------------------------------------------------------------------
