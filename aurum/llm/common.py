@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes, about, that an operator may keep in a Python worker.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 160 << 20
 #: A stored table of at most so many short rows may be broadcast, and one of at most so many rows and items of its list
 #: column together: 40 MB at the most. Larger ones are shuffled.
 BROADCAST_ROWS, BROADCAST_ITEMS = 200_000, 1_000_000
@@ -57,15 +58,19 @@ def worker_cache(name, make):
 
 
 class Words(dict):
-    """A cache word -> value(word) of CACHE_BYTES at most, about; long words are not kept."""
+    """A cache word -> value(word) of CACHE_BYTES at most, about; long words are not kept. It has two generations: when the
+    young one is full it becomes the old one, and what is used again comes back from there."""
 
     def __init__(self, value):
-        self.value, self.most = value, CACHE_BYTES // 256
+        self.value, self.most, self.old = value, CACHE_BYTES // 256 // 2, {}
 
-    def __missing__(self, word: bytes):
-        found = self.value(word)
+    def __missing__(self, word):
+        found = self.old.get(word)
+        if found is None:
+            found = self.value(word)
         if len(word) <= 64:
             if len(self) >= self.most:
+                self.old = self.copy()
                 self.clear()
             self[word] = found
         return found
@@ -93,10 +98,42 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/aurum-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_scopes: list[set[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession):
+    """What stored() writes inside is deleted at the end, but for the tables that were given to the function yielded: those
+    pass to the scope around, if there is one."""
+    mine: set[str] = set()
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.__dict__["_aurum_path"])
+        return df
+
+    _scopes.append(mine)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        if _scopes:
+            _scopes[-1].update(kept)
+        for path in mine - kept:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _scopes:
+        _scopes[-1].add(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._aurum_path = path
     return out
@@ -104,11 +141,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing needs it."""
-    spark, path = df.sparkSession, df.__dict__.get("_aurum_path")
-    if path is None:
-        return
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path := df.__dict__.get("_aurum_path"):
+        delete(df.sparkSession, path)
 
 
 def small(df: DataFrame, weight: Column | None = None) -> DataFrame:

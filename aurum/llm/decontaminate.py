@@ -9,7 +9,10 @@ term with those of the other terms in buckets of the distance asked for.
 
 Words: A-Z lower-cased, then runs of digits, a-z and characters beyond ASCII.
 
-Defined cases: a null text has no words; rows with one doc_id and one text get the same result each; rows with one doc_id
+build_index() indexes all words of a corpus, or only those that given terms name; the query does the second, with the words of
+the benchmark it is asked about.
+
+Defined cases: an item with a null item_id makes its windows hit, but is named and counted in no list of items; a null text has no words; rows with one doc_id and one text get the same result each; rows with one doc_id
 and different texts are kept apart by the hash of the text; an empty benchmark hits nothing; items without words are no
 windows; other columns are ignored.
 """
@@ -20,7 +23,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import ascii_lower, small, stored, table
+from .common import ascii_lower, small, stored, table, temporary
 
 KEY = ["doc_key", "text_hash"]
 
@@ -94,19 +97,23 @@ def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> Data
     return met.union(first.where("terms = 1").select(*KEY, "query", "pos"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the row's key for each row of docs."""
+def occurring(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """doc_key, text_hash, n_hit (words inside any occurrence of a window), items (sorted ids); documents with hits only, stored."""
     windows, owners = phrases(items, size)
     terms = stored(windows.select(F.explode("terms").alias("term")).distinct(), "terms")
-    hits = phrase_matches(build_index(docs, terms), windows)
-    hits = hits.distinct()
+    hits = phrase_matches(build_index(docs, terms), windows).distinct()
     order = W.partitionBy(*KEY).orderBy("start", "length")
     stop = F.col("start") + F.col("length")
     fresh = hits.withColumn("seen", F.max(stop).over(order.rowsBetween(W.unboundedPreceding, -1))).withColumn("fresh", F.greatest(F.lit(0), stop - F.greatest("start", F.coalesce("seen", "start"))))
-    covered = fresh.groupBy(*KEY).agg(F.sum("fresh").alias("n_hit"), F.collect_set("phrase").alias("found"))
-    covered = stored(covered, "hits")
+    covered = stored(fresh.groupBy(*KEY).agg(F.sum("fresh").alias("n_hit"), F.collect_set("phrase").alias("found")), "hits")
     named = covered.select(*KEY, F.explode("found").alias("phrase")).join(small(owners), "phrase").groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = covered.select(*KEY, "n_hit").join(named, KEY)
+    return stored(covered.select(*KEY, "n_hit").join(named, KEY), "found")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the row's key for each row of docs."""
+    with temporary(docs.sparkSession) as keep:
+        found = keep(occurring(docs, items, size))
     rows = docs.select("doc_id", *row_key(), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     items_ = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(found, KEY, "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_).cast("long").alias("n_items"), F.sha2(F.array_join(items_, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), *KEY)

@@ -33,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, discard, ship, small, stored, table
+from .common import components, discard, ship, small, stored, table, temporary
 
 LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS, DIFFER = 20, 5, 0.8, 5, 12, 20
 #: Characters that are signed at a time, lines of a batch, and the part of all rows of a table that makes a key hot.
@@ -357,16 +357,16 @@ def find_duplicates(docs: DataFrame, signed: DataFrame | None = None) -> DataFra
     return out
 
 
-def repeated_rows(docs: DataFrame, signed: DataFrame) -> DataFrame:
+def repeated_rows(docs: DataFrame, signed: DataFrame, keep=lambda df: df) -> DataFrame:
     """docs as (row, doc_key, text_hash, again); again is true for rows that repeat doc_id and text of another one with lines
     that count, but for one of them."""
     again = stored(signed.where("first").groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key())
     if not again.take(1):
         return keyed.withColumn("again", F.lit(False))
-    some = small(again)
+    some = small(keep(again))
     # written once, so that the numbers hold
-    copies = stored(keyed.join(some, KEY, "left_semi").withColumn("number", F.monotonically_increasing_id()), "copies")
+    copies = keep(stored(keyed.join(some, KEY, "left_semi").withColumn("number", F.monotonically_increasing_id()), "copies"))
     first = copies.groupBy(*KEY).agg(F.min(F.struct(F.xxhash64("row"), "number")).alias("first")).select(*KEY, F.col("first.number").alias("kept"))
     marked = copies.join(first, KEY).select("row", *KEY, (F.col("number") != F.col("kept")).alias("again"))
     return keyed.join(some, KEY, "left_anti").withColumn("again", F.lit(False)).unionByName(marked)
@@ -374,10 +374,12 @@ def repeated_rows(docs: DataFrame, signed: DataFrame) -> DataFrame:
 
 def remove_lines(docs: DataFrame) -> DataFrame:
     """docs with new texts and n_lines, n_removed, removed (numbers of the removed lines)."""
-    signed = sign(docs)
-    removed = find_duplicates(docs, signed)
     old = list(docs.columns)
-    out = repeated_rows(docs, signed).join(small(removed, F.size("removed")), KEY, "left")
+    with temporary(docs.sparkSession) as keep:
+        signed = sign(docs)
+        removed = keep(find_duplicates(docs, signed))
+        marked = repeated_rows(docs, signed, keep)
+    out = marked.join(small(removed, F.size("removed")), KEY, "left")
     whole = F.split("row.text", "\n")
     counted = F.filter(F.transform(whole, lambda x, i: F.when(F.char_length(F.lower(F.trim(x))) >= LEAST_CHARS, i)), lambda i: i.isNotNull())
     none = F.array().cast("array<int>")

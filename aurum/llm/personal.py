@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
-from .common import discard, stored, table
+from .common import discard, stored, table, temporary
 
 KINDS = ("email", "ip", "card", "phone")
 BASE = {
@@ -177,11 +177,12 @@ def digest_list(spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, for each row."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = stored(base_spans(docs), "base")
     span = F.struct("kind", "start", "stop")
-    both = base.select(*KEY, span.alias("s"), F.lit(True).alias("is_base")).union(discovered(docs, base).select(*KEY, span, F.lit(False)))
-    counts = [F.count_if(F.col("is_base") & (F.col("s.kind") == i)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    found = both.groupBy(*KEY).agg(*counts, F.collect_list(F.when(F.col("is_base"), F.col("s"))).alias("base"), F.collect_list("s").alias("all"))
+    with temporary(docs.sparkSession) as keep:
+        base = stored(base_spans(docs), "base")
+        both = base.select(*KEY, span.alias("s"), F.lit(True).alias("is_base")).union(discovered(docs, base).select(*KEY, span, F.lit(False)))
+        counts = [F.count_if(F.col("is_base") & (F.col("s.kind") == i)).alias(f"n_{k}") for i, k in enumerate(KINDS)]
+        found = keep(stored(both.groupBy(*KEY).agg(*counts, F.collect_list(F.when(F.col("is_base"), F.col("s"))).alias("base"), F.collect_list("s").alias("all")), "found"))
     none = F.array().cast("array<struct<kind:int,start:int,stop:int>>")
     rows = docs.select("doc_id", *row_key()).join(found, KEY, "left")
     base_, all_ = F.coalesce("base", none), F.coalesce("all", none)

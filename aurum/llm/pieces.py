@@ -34,11 +34,12 @@ BLANK = "▁"
 class Pieces(dict):
     """Maps a part of a text to (its ids as comma-joined decimals, their count, the decoded bytes)."""
 
-    MOST, SHORT, ROWS, CHARS = CACHE_BYTES // 320, 24, 8_192, 1_000_000
+    MOST, SHORT, ROWS, CHARS = CACHE_BYTES // 320 // 2, 24, 8_192, 1_000_000
 
     def __init__(self, model: bytes):
         import sentencepiece
 
+        self.old: dict = {}
         self.library = lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = lib.get_piece_size()
         names = [lib.id_to_piece(i) for i in range(n)]
@@ -151,10 +152,14 @@ class Pieces(dict):
             rows, before = each[inner], best[inner] - 1
             made[rows, before], ranks[rows, before] = self.joined(symbols[rows, before], new[inner])
 
+    def known(self, parts: set[str]) -> set[str]:
+        """Of parts that the cache lacks, those that the older generation lacks as well; the others come back from there."""
+        for part in parts & self.old.keys():
+            self[part] = self.old[part]
+        return parts - self.old.keys()
+
     def learn(self, parts: set[str]) -> None:
         """Puts the given parts into the cache."""
-        if len(self) + len(parts) > self.MOST:
-            self.clear()
         new = sorted(parts, key=len)
         cut = next((k for k, p in enumerate(new) if len(p) > self.SHORT), len(new))
         for k in range(0, cut, self.ROWS):
@@ -164,6 +169,12 @@ class Pieces(dict):
         for part in new[cut:]:
             self.keep(part, self.part_ids(part))
 
+    def age(self) -> None:
+        """Between texts: a full cache becomes the older generation."""
+        if len(self) >= self.MOST:
+            self.old = self.copy()
+            self.clear()
+
     def keep(self, part: str, ids: list[int]) -> tuple[str, int, bytes]:
         self[part] = found = (",".join([self.decimals[i] for i in ids]), len(ids), b"".join([self.raw[i] for i in ids]))
         return found
@@ -229,9 +240,8 @@ def encode_decode(docs: DataFrame, model: bytes) -> DataFrame:
                 if held < mine.CHARS and k < batch.num_rows - 1:
                     continue
                 split = [mine.split(text) for text in texts]
-                new = {part for parts in split for part in parts if part not in mine}
-                if len(mine) + len(new) > mine.MOST:  # learn() starts the cache anew
-                    new = {part for parts in split for part in parts}
+                mine.age()
+                new = mine.known({part for parts in split for part in parts if part not in mine})
                 mine.learn(new)
                 mine.check(list(new), next(filter(None, texts), ""))
                 for parts in split:

@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import Words, components, discard, lists_of, ship, stored, table, worker_cache
+from .common import Words, components, discard, lists_of, ship, stored, table, temporary, worker_cache
 
 HOT_TOKENS, HOT_FROM, BLOOM = 1_000_000, 8, 1 << 24
 #: Longs of the folded sketch that the last join compares, and words that are hashed at a time.
@@ -274,6 +274,13 @@ def linked_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Data
 def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The rows (doc_id, text_hash) with n, the size of the set, component_id and component, a number of the component of its
     own: where rows repeat doc_ids, two components can have one smallest doc_id. It is null for empty sets."""
+    with temporary(docs.sparkSession) as keep:
+        rows, named = (keep(x) for x in named_sets(docs, size, percent))
+    return rows.join(named, ["f1", "f2"], "left").select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "component")
+
+
+def named_sets(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n, f1, f2) of each row, and (f1, f2, component_id, component) of each class of sets; both stored."""
     rows = stored(sketches(docs, size, percent, hot_tokens(prefix_tokens(docs, size, percent))), "sketches")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("least"))
     # a class's number is its node: unique, whatever the doc_ids are, and fixed once it is written
@@ -332,9 +339,7 @@ def linked_rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
     named = classes.join(comp, "node")
     least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
     named = stored(named.join(least, "comp").select("f1", "f2", "component_id", F.col("comp").alias("component")), "named")
-    for x in (classes, full, members, lists, *found):
-        discard(x)
-    return rows.select("doc_id", "text_hash", "n", "f1", "f2").join(named, ["f1", "f2"], "left").select("doc_id", "text_hash", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), "component")
+    return stored(rows.select("doc_id", "text_hash", "n", "f1", "f2"), "rows"), named
 
 
 def op10_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import discard, new_path, ship, stored, table
+from .common import discard, new_path, ship, stored, table, temporary
 
 #: Blocks of a shard: as many as keep a block under so many bytes; else up to BLOCKS of at least BLOCK_ROWS rows, since a
 #: cut is the evener the more documents its block has.
@@ -181,7 +181,8 @@ def op2_reshard(spark, sf_dir: str) -> DataFrame:
     """The old layout puts the documents of a source together, over 12 shards; the new one has 16 equal shards. The affected
     shards are rewritten in the shared folder, and the result is read from the files: where each document lies."""
     docs = table(spark, sf_dir, "documents")
-    plan = stored(reshard(docs, F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12)), 12, 16), "plan")
+    with temporary(spark) as keep:
+        plan = keep(stored(reshard(docs, F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12)), 12, 16), "plan"))
     path = new_path(spark, "shards")
     changed = rewrite(docs, plan, path, 16)
     text = F.coalesce("text", F.lit(""))

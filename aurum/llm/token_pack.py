@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import CACHE_BYTES, new_path, ship, stored, table, worker_cache
+from .common import Words, new_path, ship, stored, table, worker_cache
 
 MAGIC, VERSION, BLOCK = b"AUTK", 1, 1 << 15
 HEAD, TAIL = struct.Struct("<4sHHI"), struct.Struct("<QQQ4s")
@@ -154,7 +154,7 @@ def short_way(model: dict) -> bool:
     return model.get("normalizer") == STEPS["normalizer"] and first == STEPS["split"]
 
 
-class Encoder(dict):
+class Encoder:
     """The tokenizers library, asked once for each word.
 
     The vocabulary's pre-tokenizer cuts a text into words that never merge with each other, so the ids of a text are
@@ -162,8 +162,6 @@ class Encoder(dict):
     go to the library whole.
     """
 
-    MOST = CACHE_BYTES // 256
-
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
@@ -172,13 +170,7 @@ class Encoder(dict):
         self.short = short_way(json.loads(model))
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(self) >= self.MOST:
-            self.clear()
-        self[word] = ids
-        return ids
+        self.words = Words(self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -186,7 +178,7 @@ class Encoder(dict):
     def encode(self, text: str) -> bytes:
         if not self.short or not PLAIN.fullmatch(text) or self.special and self.special.search(text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, WORDS.findall(text.lower())))
+        return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
 
 
 def encoder(model: str) -> Encoder:

@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import components, forest, ship, stored, table
+from .common import components, forest, ship, stored, table, temporary
 
 SAMPLE, PIVOTS, COPIES, BLOCK, STRIP = 4_096, 1_024, 4.0, 8_192, 512
 #: Products in single precision are off by less than this for unit vectors of up to some thousand components.
@@ -109,6 +109,14 @@ def block_links(x: np.ndarray, y: np.ndarray, same: bool, least: float) -> tuple
 
 def cosine_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept for each row."""
+    with temporary(vectors.sparkSession) as keep:
+        rows, named = (keep(x) for x in linked_classes(vectors, least))
+    out = rows.join(named, ["node", "check"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def linked_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """The rows with their classes, and the classes (node, check) with n_links and component_id, both stored."""
     spark, radius = vectors.sparkSession, float(np.sqrt(2 - 2 * least))
     rows = stored(classes_of(vectors), "vectors")
     groups = rows.where("valid").groupBy("node", "check").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.min("dim").alias("dim"), F.min("raw").alias("raw"))
@@ -168,8 +176,7 @@ def cosine_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     named = stored(named, "named")
     least_id = named.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     named = stored(named.join(least_id, "component").select("node", "check", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "linked")
-    out = rows.join(named, ["node", "check"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return rows, named
 
 
 def op8_vector_join(spark, sf_dir: str) -> DataFrame:
