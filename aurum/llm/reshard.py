@@ -20,7 +20,7 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import discard, new_path, ship, stored, table, temporary
+from .common import discard, new_path, ship, small, stored, table, temporary
 
 #: Blocks of a shard: as many as keep a block under so many bytes; else up to BLOCKS of at least BLOCK_ROWS rows, since a
 #: cut is the evener the more documents its block has.
@@ -80,8 +80,13 @@ def sized(docs: DataFrame, old_shard: Column) -> DataFrame:
     return stored(rows.withColumn("row_no", F.monotonically_increasing_id()), "sizes")
 
 
+def block_of() -> Column:
+    """The block of a row among the `blocks` of its old shard."""
+    return F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("blocks")).cast("int")
+
+
 def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int, capacities: list[int] | None = None, cost: list[list[float]] | None = None) -> DataFrame:
-    """docs (doc_id, text) -> row_no, doc_id, size, text_crc32, old_shard, shard, slot.
+    """docs (doc_id, text) -> doc_id, size, text_crc32, old_shard, blocks, block, shard, slot.
 
     old_shard: a column expression of 0 .. old_shards-1. capacities: bytes of each new shard; equal shares if None.
     """
@@ -103,8 +108,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     cuts = spark.createDataFrame(cuts, "old_shard int, shard int, lo long, hi long")  # at most a row for each pair of shards
     # as many blocks of each old shard as its own bytes and rows ask for, so that a large shard has no larger blocks
     each = [(i, int(max(-(-max(1, r["bytes"]) // BLOCK_BYTES), min(BLOCKS, r["n"] // BLOCK_ROWS), r["n"] // MOST_ROWS, 1))) for i, r in sizes.items()]
-    blocks = F.broadcast(spark.createDataFrame(each, "old_shard int, blocks int"))
-    rows = rows.join(blocks, "old_shard").withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", "size", "row_no"), F.col("blocks")).cast("int")).drop("blocks")
+    rows = rows.join(F.broadcast(spark.createDataFrame(each, "old_shard int, blocks int")), "old_shard").withColumn("block", block_of())
     line = W.partitionBy("old_shard").orderBy("block")
     ends = rows.groupBy("old_shard", "block").agg(F.sum("size").alias("bytes")).withColumn("stop", F.sum("bytes").over(line)).withColumn("start", F.col("stop") - F.col("bytes"))
     pieces = ends.join(F.broadcast(cuts), "old_shard").where("lo < stop and hi > start")
@@ -129,7 +133,7 @@ def reshard(docs: DataFrame, old_shard: Column, old_shards: int, new_shards: int
     before = W.partitionBy("shard").orderBy("old_shard", "block").rowsBetween(W.unboundedPreceding, -1)
     bases = counts.select("shard", "old_shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy("doc_id", "text_crc32", "size", "row_no"))
-    return dealt.withColumn("rank", rank).join(bases, ["shard", "old_shard", "block"]).select("row_no", "doc_id", "size", "text_crc32", "old_shard", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
+    return dealt.withColumn("rank", rank).join(bases, ["shard", "old_shard", "block"]).select("doc_id", "size", "text_crc32", "old_shard", "blocks", "block", "shard", (F.col("base") + F.col("rank") - 1).alias("slot"))
 
 
 def affected(plan: DataFrame) -> list[int]:
@@ -138,30 +142,36 @@ def affected(plan: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.select("shard").union(moved.select("old_shard")).distinct().collect())
 
 
-def rewrite(docs: DataFrame, plan: DataFrame, path: str, new_shards: int) -> list[int]:
-    """Write the affected shards of docs below path, one folder shard=N each, in slot order; the others stay untouched. New
-    files are written beside the folder first; then each affected shard's folder is replaced, also that of a shard that has
-    become empty or is no more. Returns the affected shards.
+def rewrite(docs: DataFrame, old_shard: Column, plan: DataFrame, path: str, new_shards: int) -> list[int]:
+    """Write the affected shards of docs below path, one folder shard=N each, files in slot order; the others stay untouched.
+    New files are written beside the folder first; then each affected shard's folder is replaced, also that of a shard that
+    has become empty or is no more. Returns the affected shards.
 
-    A document is found in its shard by doc_id (null as well), size and crc32; rows that agree in all three take the slots
-    of such rows in the order of a full hash of the text."""
+    A block that moves whole is looked up in a table of blocks, and its rows are numbered anew in the plan's order: texts are
+    shuffled once. Only rows of blocks that a cut falls into are looked up one by one, by doc_id (null as well), size and
+    crc32; rows that agree in all three are alike to the plan."""
     spark = docs.sparkSession
     changed = affected(plan)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    known = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), (F.octet_length(text) + 1).cast("long"), F.crc32(text)]
-    names = ["_id", "_size", "_crc"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], *[k.alias(n) for k, n in zip(known, names, strict=True)])
-    places = plan.where(F.col("shard").isin(changed)).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot")
-    # rows that repeat each other are numbered on both sides; others need no numbers, and most rows are others
-    several = stored(plan.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc")).agg(F.count("*").alias("_n")).where("_n > 1").select(*names), "several")
-    one = rows.join(several, names, "left_anti").join(places.join(several, names, "left_anti"), names)
-    all_places = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), F.col("size").alias("_size"), F.col("text_crc32").alias("_crc"), "shard", "slot").join(several, names, "left_semi")
-    ranked = all_places.withColumn("_k", F.row_number().over(W.partitionBy(*names).orderBy("shard", "slot"))).where(F.col("shard").isin(changed))
-    mine = rows.join(several, names, "left_semi").withColumn("_k", F.row_number().over(W.partitionBy(*names).orderBy(F.xxhash64(text))))
-    out = one.unionByName(mine.join(ranked, [*names, "_k"]).drop("_k")).drop(*names)
+    ours = ["size", "text_crc32", "old_shard", "blocks", "block", "shard", "slot"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ours]
+    counts = stored(plan.groupBy("old_shard", "blocks", "block", "shard").agg(F.min("slot").alias("base")), "blocks")
+    single = counts.groupBy("old_shard", "block").agg(F.count("*").alias("n"), F.min("shard").alias("shard"), F.min("base").alias("base")).where("n = 1").drop("n")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(*kept, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    rows = rows.join(F.broadcast(counts.select("old_shard", "blocks").distinct()), "old_shard").withColumn("block", block_of())
+    whole = small(stored(single, "whole"))
+    order = ["doc_id", "text_crc32", "size"]
+    rank = F.row_number().over(W.partitionBy("shard", "old_shard", "block").orderBy(*order))
+    moved = rows.join(whole, ["old_shard", "block"]).where(F.col("shard").isin(changed)).withColumn("slot", F.col("base") + rank - 1)
+    same = [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"), "size", "text_crc32"]
+    number = F.row_number().over(W.partitionBy("_id", "size", "text_crc32").orderBy("slot"))
+    places = plan.join(whole, ["old_shard", "block"], "left_anti").select(*same, F.col("shard"), F.col("slot")).withColumn("_k", number)
+    cut = rows.join(whole, ["old_shard", "block"], "left_anti").withColumn("_id", same[0])
+    cut = cut.withColumn("_k", F.row_number().over(W.partitionBy("_id", "size", "text_crc32").orderBy("old_shard")))
+    cut = cut.join(places.where(F.col("shard").isin(changed)), ["_id", "size", "text_crc32", "_k"])
+    out = moved.select(*kept, "shard", "slot").unionByName(cut.select(*kept, "shard", "slot"))
     fresh = f"{path.rstrip('/')}/.new-{uuid.uuid4().hex}"
-    (out.repartition("shard", (F.col("slot") / 100_000).cast("int")).sortWithinPartitions("shard", "slot")
-        .write.partitionBy("shard").parquet(fresh))
+    out.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(fresh)
     folder = spark._jvm.org.apache.hadoop.fs.Path
     fs = folder(fresh).getFileSystem(spark._jsc.hadoopConfiguration())
     for shard in changed:
@@ -173,18 +183,19 @@ def rewrite(docs: DataFrame, plan: DataFrame, path: str, new_shards: int) -> lis
         if int(status.getPath().getName().split("=")[1]) >= new_shards:
             fs.delete(status.getPath(), True)
     fs.delete(folder(fresh), True)
-    discard(several)
+    for x in (counts, whole):
+        discard(x)
     return changed
 
 
 def op2_reshard(spark, sf_dir: str) -> DataFrame:
     """The old layout puts the documents of a source together, over 12 shards; the new one has 16 equal shards. The affected
     shards are rewritten in the shared folder, and the result is read from the files: where each document lies."""
-    docs = table(spark, sf_dir, "documents")
+    docs, old = table(spark, sf_dir, "documents"), F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12))
     with temporary(spark) as keep:
-        plan = keep(stored(reshard(docs, F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(12)), 12, 16), "plan"))
-    path = new_path(spark, "shards")
-    changed = rewrite(docs, plan, path, 16)
+        plan = keep(stored(reshard(docs, old, 12, 16), "plan"))
+        path = new_path(spark, "shards")
+        changed = rewrite(docs, old, plan, path, 16)
     text = F.coalesce("text", F.lit(""))
     names = ["doc_id", "size", "text_crc32", "shard", "slot"]
     rest = plan.where(~F.col("shard").isin(changed)).select(*names)  # shards that stay as they are have no new files

@@ -123,7 +123,8 @@ def test_reshard_and_rewrite(spark, tmp_path):
     rng = random.Random(4)
     texts = [prose(rng, rng.randrange(60)) for _ in range(400)] + AWKWARD + ["same"] * 30
     docs = table(spark, texts)
-    plan = reshard.reshard(docs, F.when(F.col("doc_id") < 300, 0).otherwise(F.col("doc_id") % 3), 3, 4)
+    old = F.when(F.col("doc_id") < 300, 0).otherwise(F.col("doc_id") % 3)
+    plan = common.stored(reshard.reshard(docs, old, 3, 4), "plan")
     rows = plan.collect()
     assert len(rows) == len(texts)
     sums, slots = defaultdict(int), defaultdict(list)
@@ -134,7 +135,7 @@ def test_reshard_and_rewrite(spark, tmp_path):
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert max(sums.values()) - min(sums.values()) <= 20001
-    changed = reshard.rewrite(docs, plan, str(tmp_path / "out"), 4)
+    changed = reshard.rewrite(docs, old, plan, str(tmp_path / "out"), 4)
     written = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r[0] for r in written.select("shard").distinct().collect()) == changed
     assert written.count() == sum(len(slots[s]) for s in changed)
@@ -148,7 +149,7 @@ def test_rewrite_keeps_every_row_and_drops_shards_that_are_no_more(spark, tmp_pa
     old = F.pmod(F.xxhash64("text", "doc_id"), F.lit(4)).cast("int")
     docs.drop("slot").withColumn("shard", old).withColumn("slot", F.lit(0).cast("long")).write.partitionBy("shard").parquet(path)
     plan = common.stored(reshard.reshard(docs, old, 4, 2), "plan")
-    reshard.rewrite(docs, plan, path, 2)
+    reshard.rewrite(docs, old, plan, path, 2)
     got = spark.read.parquet(path)
     assert {r[0] for r in got.select("shard").distinct().collect()} <= {0, 1}
     key = lambda rows: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in rows.collect())
