@@ -519,6 +519,19 @@ def test_discovered_instances_induce_patterns_of_their_own(spark):
 # 8 ----------------------------------------------------------------------------------------------------------------------
 
 
+def test_far_apart_pivots_separate_clusters():
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(32, 64)))
+    sample = unit(np.repeat(centres, 32, axis=0) + rng.normal(scale=0.01, size=(1024, 64)))
+    radius = float(np.sqrt(2 - 2 * 0.95))
+    first = vector_join.spread(sample, 32)
+    assert len({int((centres @ v).argmax()) for v in first}) == 32, "the first pivots are one of each cluster"
+    home, mask = vector_join.copies(sample, first, radius)
+    sizes = np.bincount(home, minlength=32) + mask.sum(axis=0)
+    assert (sizes.astype(float) ** 2).sum() < 0.1 * len(sample) ** 2, "cells compare few of all pairs"
+
+
 def test_vector_links(spark, monkeypatch):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 16))
