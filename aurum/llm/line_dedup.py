@@ -8,7 +8,8 @@
    bucket's lines are first paired with its smallest line, those of buckets that still are in several components with a line
    that a hash picks, then, across components, with each other. A pair goes on to verification if two bits of each minimum
    differ in at most DIFFER places: at similarity 0.8 a place differs with probability 0.15, so that 21 or more of 60 differ
-   in about one pair of ten thousand.
+   in about one pair of ten thousand. Pairs across components must also pass an exact bound: parity sketches of the sets of
+   shingles differ in no more bits than the sets differ in elements.
 4. Verification: exact Jaccard similarity, at least 0.8, of the sets of all shingles of SHINGLE characters.
 5. Distributed union-find joins verified pairs; of each component the first line (by doc_id, then line number) stays.
 
@@ -40,6 +41,8 @@ LEAST_CHARS, SHINGLE, SIMILAR, RANK, BANDS, DIFFER = 20, 5, 0.8, 5, 12, 20
 CHUNK, LINES, HOT = 64_000, 4_096, 2_000
 #: Rows of a partition whose buckets a Python worker sorts: some 50 MB.
 PART_ROWS = 1 << 21
+#: Longs of a parity sketch.
+FOLD = 16
 ODD = [int.from_bytes(hashlib.sha256(b"%d" % k).digest()[:4], "big") | 1 for k in range(RANK * BANDS)]
 KEY = ["doc_key", "text_hash"]
 
@@ -270,24 +273,69 @@ def wanted_lines(docs):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.string()), strict=True)], ["id", "more", "line"])
 
 
-def verified(pairs: DataFrame, bits: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) of ids -> stored pairs (u, v) of identities whose lines are similar."""
+def lines_of(ids: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, more, line) of the lines of ids (id), stored."""
     ship(docs.sparkSession)
-    each = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = bits.alias("l"), bits.alias("r")
-    met = each.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id")).where(may_link()).select("a", "b")
-    met = stored(met.distinct(), "pairs")
-    ids = small(stored(met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id"))).distinct(), "ids"))
+    ids = small(stored(ids.distinct(), "ids"))
     # one place of each line, and from there its text
     places = signed.select("id", "more", *KEY, "line_no").join(ids, "id", "left_semi").groupBy("id", "more").agg(F.min(F.struct(*KEY, "line_no")).alias("at")).select("id", "more", "at.*")
     places = places.groupBy(*KEY).agg(F.collect_list(F.struct("line_no", "id", "more")).alias("lines"))  # a document bounds its lines
     places = stored(places, "places")
     found = docs.select(*row_key(), "text").join(small(places, F.size("lines")), KEY).select("text", "lines")
     texts = stored(found.mapInArrow(wanted_lines, "id long, more long, line string").dropDuplicates(["id", "more"]), "lines")
+    for x in (ids, places):
+        discard(x)
+    return texts
+
+
+def sketches(batches):
+    """Arrow batches (id, line) -> id, n, the size of its set of shingles, and p0 .., FOLD longs: the parity sketch of the set."""
+    cells = 64 * FOLD
+    for batch in batches:
+        lines, sizes, words, k = batch.column(1).to_pylist(), [], [], 0
+        while k < len(lines):
+            stop, held = k, 0
+            while stop < len(lines) and held < CHUNK and stop - k < 1024:
+                held += len(lines[stop])
+                stop += 1
+            codes, line, bits = shingle_codes(lines[k:stop])
+            once = np.unique(line << bits | codes, return_index=True)[1]
+            cell = line[once] * cells + (shingle_hashes(lines[k:stop])[0][once] & np.uint32(cells - 1))
+            odd = (np.bincount(cell, minlength=(stop - k) * cells) & 1).astype(np.uint8)
+            sizes.append(np.bincount(line[once], minlength=stop - k))
+            words.append(np.packbits(odd, bitorder="little").view("<i8").reshape(-1, FOLD))
+            k = stop
+        if lines:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sizes)), *map(pa.array, np.ascontiguousarray(np.concatenate(words).T))], ["id", "n", *[f"p{w}" for w in range(FOLD)]])
+
+
+def sets_allow() -> Column:
+    """Exact bound on pairs with the sizes and the parity sketches of their sets, l.n, l.p0 .. and r.n, r.p0 ..: what a sketch
+    tells apart is in one of the two sets only."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"l.p{w}").bitwiseXOR(F.col(f"r.p{w}"))) for w in range(FOLD)])
+    a, b = F.col("l.n"), F.col("r.n")
+    shared = F.least(F.floor((a + b - differ) / 2), a, b)
+    return shared >= SIMILAR * (a + b - shared)
+
+
+def verified(pairs: DataFrame, bits: DataFrame, signed: DataFrame, docs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """pairs (a, b) of ids -> stored pairs (u, v) of identities whose lines are similar. texts: lines, theirs among them, if at hand."""
+    ship(docs.sparkSession)
+    each = pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left, right = bits.alias("l"), bits.alias("r")
+    met = each.join(left, F.col("a") == F.col("l.id")).join(right, F.col("b") == F.col("r.id")).where(may_link()).select("a", "b")
+    met = stored(met.distinct(), "pairs")
+    ids = met.select(F.col("a").alias("id")).union(met.select(F.col("b").alias("id")))
+    if texts is None:
+        own = [lines_of(ids, signed, docs)]
+        texts = own[0]
+    else:
+        own = [stored(ids.distinct(), "ids")]
+        texts = texts.join(small(own[0]), "id", "left_semi")
     both = met.join(texts.toDF("a", "a_more", "a_line"), "a").join(texts.toDF("b", "b_more", "b_line"), "b").select("a", "a_more", "b", "b_more", "a_line", "b_line")
     linked = both.mapInArrow(similar, "a long, a_more long, b long, b_more long")
     out = stored(linked.select(F.struct(F.col("a").alias("id"), F.col("a_more").alias("more")).alias("u"), F.struct(F.col("b").alias("id"), F.col("b_more").alias("more")).alias("v")), "linked")
-    for x in (met, ids, places, texts):
+    for x in (met, *own):
         discard(x)
     return out
 
@@ -315,15 +363,24 @@ def line_components(signed: DataFrame, docs: DataFrame) -> DataFrame:
         discard(comp)
         comp = components(reduce(DataFrame.union, linked))
         last = still_open(now.join(centre, "bucket").where("id != centre").select("bucket", "id"))
-        each = last.join(bits, "id")
+        # most pairs that the bits let through are less similar; the sets' sketches tell them apart before they leave the join.
+        # A pair that meets in several buckets leaves it in the first: there it is in `last`, too, unless a star had it
+        texts = lines_of(last.select("id"), signed, docs)
+        kind = "id long, n long, " + ", ".join(f"p{w} long" for w in range(FOLD))
+        sets = stored(texts.select("id", "line").mapInArrow(sketches, kind), "sets")
+        ids = small(stored(last.select("id").distinct(), "ids"))
+        of = signed.join(ids, "id", "left_semi").select("id", "buckets").distinct()
+        each = last.join(bits, "id").join(sets, "id").join(of, "id").where(F.array_contains("buckets", F.col("bucket")))
+        each = each.withColumn("before", F.slice("buckets", F.lit(1), (F.array_position("buckets", F.col("bucket")) - 1).cast("int"))).drop("buckets")
         left, right = each.alias("l"), each.alias("r")
-        pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & may_link())
+        first = ~F.arrays_overlap("l.before", "r.before")
+        pairs = left.join(right, (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.comp") < F.col("r.comp")) & may_link() & sets_allow() & first)
         across = stored(pairs.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), "across")
         if across.take(1):
-            linked.append(verified(across, bits, signed, docs))
+            linked.append(verified(across, bits, signed, docs, texts))
             discard(comp)
             comp = components(reduce(DataFrame.union, linked))
-        for x in (last, across):
+        for x in (last, across, sets, texts, ids):
             discard(x)
     for x in (now, met, bits, *linked):
         discard(x)

@@ -15,6 +15,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -255,6 +256,41 @@ def test_line_dedup_without_blanks(spark):
     assert found_pairs(spark, pairs) >= 0.97 * len(pairs)
 
 
+def test_line_dedup_pairs_across_components(spark):
+    """Many copies of one line that are not similar enough to each other: the last join makes few of all their pairs."""
+    rng, letters = random.Random(17), "abcdefghijklmnopqrstuvwxyz"
+    line = "".join(rng.choice(letters + "   ") for _ in range(300)).strip()
+    near = lambda: "".join(rng.choice("0123456789") if rng.random() < 0.02 else c for c in line)
+    lines = [near() for _ in range(150)] + [line[:150] + "".join(rng.choice(letters) for _ in range(150)) + "a" * 12]
+    made, verified = [], line_dedup.verified
+
+    def seen(pairs, *rest):
+        made.append(pairs.count())
+        return verified(pairs, *rest)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(line_dedup, "verified", seen)
+        gone = set(line_dedup.remove_lines(table(spark, ["\n".join(lines)])).first()["removed"])
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if shingle_similarity(lines[a], lines[b]) >= 0.8]
+    roots = components_of(range(len(lines)), links)
+    assert gone == {k for k, c in roots.items() if k != min(j for j, d in roots.items() if d == c)}
+    assert len(made) < 3 or made[2] <= 600, made
+
+
+def test_line_sketches_bound_the_similarity():
+    rng = random.Random(18)
+    lines = ["ab" * 20, "x" * 30, "".join(chr(0x4E00 + rng.randrange(900)) for _ in range(3000))]
+    for _ in range(60):
+        lines.append("".join(rng.choice("abcdefg 0") if rng.random() < rng.choice([0.02, 0.1]) else c for c in rng.choice(lines)))
+    out = next(line_dedup.sketches([pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], ["id", "line"])])).to_pylist()
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    assert [r["n"] for r in out] == [len(x) for x in sets]
+    for a in range(len(lines)):
+        for b in range(a):
+            differ = sum(((out[a][f"p{w}"] ^ out[b][f"p{w}"]) & (1 << 64) - 1).bit_count() for w in range(line_dedup.FOLD))
+            assert differ <= len(sets[a] ^ sets[b])
+
+
 # 4 ----------------------------------------------------------------------------------------------------------------------
 
 
